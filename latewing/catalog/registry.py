@@ -117,9 +117,14 @@ def hhmm_sql(column: str) -> str:
 
 USABLE = "CANCELLED = 0 AND DIVERTED = 0 AND CRS_ELAPSED_TIME > 0 AND ARR_DELAY IS NOT NULL"
 
-CLEAN = f"""{TRIPS}, usable AS (SELECT * FROM trips WHERE {USABLE}),
+
+def clean_view(view: str, source: str) -> str:
+    return f"""{view}, usable AS (SELECT * FROM {source} WHERE {USABLE}),
 quartiles AS (SELECT quantile_cont(ARR_DELAY, 0.25) AS q1, quantile_cont(ARR_DELAY, 0.75) AS q3 FROM usable),
 clean AS (SELECT u.* FROM usable u, quartiles
  WHERE ARR_DELAY BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1))"""
 
+
+CLEAN = clean_view(TRIPS, "trips")
+
 RECORD_ORDER = "FL_DATE, l_orderkey, l_linenumber, l_partkey, l_suppkey, DISTANCE"

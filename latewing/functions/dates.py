@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from ..schema import DATE_FORMATS
-from .numbers import finite_number
+from .numbers import hhmm_number
 
 
 def parse_date(value: Column) -> Column:
@@ -28,13 +28,10 @@ def as_date(value: Column, data_type: str) -> Column:
     return value.cast("date")
 
 
-def parse_hhmm(value: Column) -> Column:
+def parse_hhmm(value: Column, data_type: str = "string") -> Column:
     """``'HH:mm'`` text of an HHMM number such as ``630`` or ``'0630'``; NULL if invalid."""
-    number = finite_number(value)
-    clock = F.when(
-        (number >= 0) & (number < 2400) & (number == F.floor(number)),
-        number,
-    ).cast("int")
+    clock = hhmm_number(value, data_type)
+    clock = F.when(clock.between(0, 2359), clock)
     digits = F.lpad(clock.cast("string"), 4, "0")
     return F.when(
         clock % 100 < 60,

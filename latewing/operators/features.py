@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.dates import as_date
-from ..functions.numbers import hhmm_number
+from ..functions.numbers import hhmm_number, number
 from ..schema import MODEL_FEATURES, NUMERIC_FEATURES, InputError, require_columns
 
 
@@ -79,9 +79,10 @@ def scheduled_departure(date: Column, hhmm: Column) -> Column:
 
 def feature_columns(df: DataFrame) -> dict[str, Column]:
     """Every derived column by name, built from the raw columns of ``df``."""
-    date = as_date(F.col("FL_DATE"), dict(df.dtypes)["FL_DATE"])
-    departs = hhmm_number(F.col("CRS_DEP_TIME"))
-    arrives = hhmm_number(F.col("CRS_ARR_TIME"))
+    types = dict(df.dtypes)
+    date = as_date(F.col("FL_DATE"), types["FL_DATE"])
+    departs = hhmm_number(F.col("CRS_DEP_TIME"), types["CRS_DEP_TIME"])
+    arrives = hhmm_number(F.col("CRS_ARR_TIME"), types["CRS_ARR_TIME"])
     calendar = calendar_features(date)
     departure = clock_features("departure", departs)
     hour = departure["departure_hour"]
@@ -94,7 +95,7 @@ def feature_columns(df: DataFrame) -> dict[str, Column]:
         "route": _joined(F.col("ORIGIN"), F.col("DEST")),
         "carrier_origin": _joined(F.col("OP_UNIQUE_CARRIER"), F.col("ORIGIN")),
         "departure_period": departure_period(hour),
-        "distance_log": F.log1p(F.col("DISTANCE").cast("double")),
+        "distance_log": F.log1p(number(F.col("DISTANCE"), types["DISTANCE"])),
         "is_peak_departure": (hour.between(7, 9) | hour.between(16, 19)).cast("int"),
     }
 

@@ -8,23 +8,25 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.dates import parse_date
 from ..functions.numbers import finite_number, hhmm_number, round_half_even
-from ..schema import DATE, HHMM_COLUMNS, MEASURE_COLUMNS, MODEL_FEATURES, PREDICTION, TEXT_COLUMNS, require_columns
+from ..schema import DATE, HHMM_COLUMNS, MEASURE_COLUMNS, MODEL_FEATURES, PREDICTION, TEXT_COLUMNS
 from .features import with_features
 from .modeling import DelayModel
+from .quality import PARSED_COLUMNS, parsed, parsed_name
 
 ORIGINAL = "__original"
 
 
 def typed_beside_text(df: DataFrame) -> DataFrame:
     """The raw columns with their types, the untouched input row kept in one struct."""
-    require_columns(df.columns)
+    text = [c for c in df.columns if c not in PARSED_COLUMNS]
+    if len(text) == len(df.columns):
+        df = parsed(df)
     return df.select(
-        F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias(ORIGINAL),
-        parse_date(F.col(DATE)).alias(DATE),
-        *(hhmm_number(F.col(c)).alias(c) for c in HHMM_COLUMNS),
-        *(finite_number(F.col(c)).alias(c) for c in MEASURE_COLUMNS),
+        F.struct(*(F.col(f"`{c}`") for c in text)).alias(ORIGINAL),
+        F.col(parsed_name(DATE)).alias(DATE),
+        *(hhmm_number(F.col(parsed_name(c)), "double").alias(c) for c in HHMM_COLUMNS),
+        *(finite_number(F.col(parsed_name(c)), "double").alias(c) for c in MEASURE_COLUMNS),
         *(F.col(c).alias(c) for c in TEXT_COLUMNS),
     )
 

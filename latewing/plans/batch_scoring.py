@@ -12,7 +12,7 @@ from ..sources.sinks import publish
 
 
 def quarantine(text: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows fit for scoring, bad rows with the names of the rules they break)."""
+    """(rows fit for scoring with their parsed values, bad rows with the names of the rules they break)."""
     marked = Q.flagged(text, Q.scoring_rules())
     return Q.good_rows(marked), Q.bad_rows(marked)
 
@@ -31,7 +31,8 @@ def score_file(spark: SparkSession, path: str, model, folder: str, run: str, str
         publish(score_text(good, model), f"{folder}/scored", run)
         publish(bad.withColumn(Q.BROKEN, F.array_join(Q.BROKEN, ",")), f"{folder}/quarantine", run)
         return None
-    positioned = with_scan_position(text)
-    rows = Q.raise_if_broken(positioned, Q.scoring_rules(), lambda hits: file_rows(hits, spark, path))
+    rows = Q.raise_if_broken(
+        with_scan_position(text), Q.scoring_rules(), lambda hits: file_rows(hits, spark, path)
+    )
     publish(score_text(text, model), f"{folder}/scored", run)
     return rows
