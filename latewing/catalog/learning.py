@@ -17,7 +17,7 @@ from ..operators.split import earliest, find_cut, labelled, labelled_split
 from ..plans.batch_scoring import quarantine
 from ..plans.training import TrainingSettings, train
 from ..schema import PREDICTION, TARGET
-from ..sources.trips import RECORD_KEY, text_trips, trip_facts, trips
+from ..sources.trips import RECORD_KEY, text_trips, trip_facts, trips, with_places
 from .quality import _RULES
 from .registry import CLEAN, FACTS, RECORD_ORDER, TEXT, TRIPS, clean_view, query
 
@@ -26,6 +26,10 @@ KEYS_SQL = "l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey,
 SETTINGS = TrainingSettings(record_key=RECORD_KEY, rounds=10, depth=5)
 
 
+def _clean_trips(spark, folder):
+    return with_places(clean(trip_facts(spark, folder)), folder)
+
+
 class DistanceModel:
     """A model in plain Python: one minute per 100 miles."""
 
@@ -74,7 +78,7 @@ SELECT feature, category, round((sum(y) + 10 * any_value(prior)) / (count(y) + 1
 GROUP BY feature, category""",
 )
 def target_encode_fit(spark, folder):
-    df = with_features(clean(trips(spark, folder)))
+    df = with_features(_clean_trips(spark, folder))
     return E.TargetEncoder(["ORIGIN", "route"]).fit(df, TARGET).mapping
 
 
@@ -112,7 +116,7 @@ FROM cells x JOIN by_route r ON x.route = r.route AND x.fold = r.fold
 JOIN by_carrier b ON x.carrier = b.carrier AND x.fold = b.fold JOIN g ON x.fold = g.fold""",
 )
 def target_encode_oof(spark, folder):
-    df = with_features(clean(trips(spark, folder))).withColumns(
+    df = with_features(_clean_trips(spark, folder)).withColumns(
         {"fold": F.pmod("l_orderkey", F.lit(5)), "carrier": F.col("OP_UNIQUE_CARRIER")}
     )
     encoded = E.TargetEncoder(["route", "carrier"]).fit_out_of_fold(df, TARGET, "fold")

@@ -11,7 +11,7 @@ from ..operators.split import labelled_split
 from ..schema import MODEL_FEATURES
 from ..plans.batch_scoring import quarantine
 from ..sources import files
-from ..sources.trips import RECORD_KEY, raw_trips, text_trips, trip_facts, trips
+from ..sources.trips import RECORD_KEY, raw_trips, text_trips, trip_facts, trips, with_places
 from .registry import CLEAN, FACT_TEXT, FACTS, RECORD_ORDER, TEXT, TRIPS, USABLE, date_sql, finite_sql, hhmm_sql, query
 
 ROW_LABEL = "concat_ws('/', l_orderkey, l_linenumber, l_partkey, l_suppkey)"
@@ -94,7 +94,7 @@ def iqr_bounds(spark, folder):
 max(ARR_DELAY) AS most FROM clean GROUP BY ALL""",
 )
 def clean_iqr(spark, folder):
-    return C.clean(trips(spark, folder)).groupBy("ORIGIN", "DEST").agg(
+    return with_places(C.clean(trip_facts(spark, folder)), folder).groupBy("ORIGIN", "DEST").agg(
         F.count("*").alias("n"),
         F.sum("ARR_DELAY").alias("delay_sum"),
         F.min("ARR_DELAY").alias("least"),

@@ -1,8 +1,9 @@
 """Trip records derived from the order tables of a data folder.
 
-``trip_facts`` needs one table and no join; ``trips`` adds the two places. The
-joins are arranged so that the large record table is shuffled once per key:
-each side is first brought down to (key, place name).
+``trip_facts`` needs one table and no join; ``trips`` adds the two places. Every
+lookup side is a plain scan of known file size, so Spark broadcasts the small
+ones and sort-merges the large ones; orders and customers meet before the record
+table does.
 """
 
 from __future__ import annotations
@@ -64,32 +65,37 @@ def trip_facts(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "lineitem").select(*(c.alias(n) for n, c in _facts().items()))
 
 
-def trips(spark: SparkSession, folder: str) -> DataFrame:
-    """Trips with origin (supplier's nation) and destination (customer's nation)."""
+def with_places(facts: DataFrame, folder: str) -> DataFrame:
+    """Trips plus origin (supplier's nation) and destination (customer's nation).
+
+    Filter the trips first: what they lose is neither shuffled nor joined.
+    """
+    spark = facts.sparkSession
     nation = table(spark, folder, "nation")
-    origins = (
-        table(spark, folder, "supplier")
-        .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
-        .select("s_suppkey", F.col("n_name").alias("ORIGIN"))
-    )
-    customers = (
-        table(spark, folder, "customer")
-        .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-        .select("c_custkey", F.col("n_name").alias("DEST"))
-    )
-    destinations = (
+    origins = nation.select(F.col("n_nationkey").alias("origin_key"), F.col("n_name").alias("ORIGIN"))
+    dests = nation.select(F.col("n_nationkey").alias("dest_key"), F.col("n_name").alias("DEST"))
+    suppliers = table(spark, folder, "supplier").select("s_suppkey", F.col("s_nationkey").alias("origin_key"))
+    customers = table(spark, folder, "customer").select("c_custkey", F.col("c_nationkey").alias("dest_key"))
+    orders = (
         table(spark, folder, "orders")
         .join(customers, F.col("o_custkey") == F.col("c_custkey"))
-        .select("o_orderkey", "DEST")
+        .select("o_orderkey", "dest_key")
     )
     return (
-        trip_facts(spark, folder)
-        .join(destinations, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(origins, F.col("l_suppkey") == F.col("s_suppkey"))
+        facts
+        # Both sides grow with the data, so neither is ever worth broadcasting.
+        .join(orders.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(origins, "origin_key")
+        .join(dests, "dest_key")
         .select(*FACT_COLUMNS[:2], "ORIGIN", "DEST", *FACT_COLUMNS[2:])
     )
 
 
+def trips(spark: SparkSession, folder: str) -> DataFrame:
+    return with_places(trip_facts(spark, folder), folder)
+
+
 def raw_trips(spark: SparkSession, folder: str) -> DataFrame:
     """Trips with the calendar columns of the raw monthly files (some wrong on purpose)."""
     date = F.col("FL_DATE")
