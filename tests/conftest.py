@@ -5,8 +5,12 @@ from pathlib import Path
 import pytest
 
 ROOT = Path(__file__).resolve().parents[1]
-sys.path.insert(0, str(ROOT))
-os.environ.setdefault("PYTHONPATH", str(ROOT))
+sys.path[:0] = [str(ROOT), str(ROOT / "tests")]
+
+import helpers  # noqa: E402
+from pyspark import cloudpickle  # noqa: E402
+
+cloudpickle.register_pickle_by_value(helpers)
 
 DATA = Path(os.environ.get("TESTDATA", "/root/testdata"))
 

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 
 from latewing.operators import distribution as D
@@ -52,12 +53,13 @@ def test_bucket_number_never_falls(spark):
     assert buckets == sorted(buckets)
 
 
-def test_equal_share_buckets_are_right_closed(spark):
-    df = spark.createDataFrame([(float(x),) for x in [1, 1, 1, 1, 2, 3, 4, 5, 6, 7]], "x double")
-    got = dict(D.equal_share_bucket(df, "x", 5).select("x", "bucket").distinct().collect())
-    # Edges 1, 1, 2.6, ... : the repeated edge counts once and the least value is included.
-    assert got[1.0] == 1 and got[2.0] == got[1.0] + 1 or got[2.0] == 1
-    assert sorted(got.values()) == [got[x] for x in sorted(got)]
+@pytest.mark.parametrize("parts", [5, 10])
+def test_equal_share_buckets_equal_pandas(spark, parts):
+    xs = [float(x) for x in [1, 1, 1, 1, 2, 3, 4, 5, 6, 7, 7, 7, 9, 12.5]]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    expected = pd.qcut(pd.Series(xs), parts, duplicates="drop").cat.codes + 1
+    got = dict(D.equal_share_bucket(df, "x", parts).select("x", "bucket").distinct().collect())
+    assert [got[x] for x in xs] == expected.tolist()
 
 
 def test_one_pass_shares_the_counted_exchange(values):

@@ -1,0 +1,198 @@
+from datetime import date, timedelta
+
+import numpy as np
+import pandas as pd
+import pytest
+from helpers import DistanceModel, text_frame, text_rows
+
+from latewing.operators import encoding as E
+from latewing.operators import metrics as M
+from latewing.operators import split as S
+from latewing.operators.features import with_features
+from latewing.operators.modeling import DelayModel
+from latewing.operators.scoring import score_features, score_text
+from latewing.plans.training import TrainingSettings, train
+from latewing.schema import PREDICTION, InputError
+from latewing.sources.trips import RECORD_KEY, trips
+from pyspark.ml import Pipeline
+from pyspark.sql import functions as F
+
+
+def dated(spark, days, hot=0):
+    """Rows over some days; ``hot`` more rows on one day in the middle."""
+    first = date(2026, 1, 1)
+    rows = [(first + timedelta(days=i % days), i, i % 3) for i in range(days * 10)]
+    rows += [(first + timedelta(days=days // 2), 10_000 + i, 0) for i in range(hot)]
+    return rows, spark.createDataFrame(rows, "FL_DATE date, k long, v int")
+
+
+@pytest.mark.parametrize("hot", [0, 700])
+@pytest.mark.parametrize("partitions", [1, 6])
+def test_split_equals_a_sort(spark, hot, partitions):
+    rows, df = dated(spark, 30, hot)
+    train_part, test_part = S.chronological_split(df.repartition(partitions), ["k"])
+    expected = sorted(rows)[: int(len(rows) * 0.8)]
+    assert sorted(tuple(r) for r in train_part.collect()) == expected
+    assert test_part.count() == len(rows) - len(expected)
+
+
+def test_text_dates_split_by_time_not_by_text(spark):
+    df = spark.createDataFrame(
+        [("10/1/2026 12:00:00 AM", 1), ("9/1/2026 12:00:00 AM", 2), ("2026-08-01", 3), (None, 4), ("11/1/2026", 5)],
+        "FL_DATE string, k int",
+    )
+    train_part, test_part = S.chronological_split(df, ["k"])
+    assert sorted(r["k"] for r in train_part.collect()) == [1, 2, 3, 5]
+    assert [r["k"] for r in test_part.collect()] == [4]
+
+
+def test_complete_copies_are_counted_off(spark):
+    rows = [(date(2026, 1, 1), 1)] * 50 + [(date(2026, 1, 1), 0)] * 5 + [(date(2026, 1, 2), 9)] * 5
+    df = spark.createDataFrame(rows, "FL_DATE date, k int").repartition(7)
+    got = {(r["split"], r["k"]): r["count"] for r in S.labelled_split(df, ["k"]).groupBy("split", "k").count().collect()}
+    assert got == {("train", 0): 5, ("train", 1): 43, ("test", 1): 7, ("test", 9): 5}
+
+
+def test_earliest(spark):
+    rows, df = dated(spark, 12)
+    assert sorted(tuple(r) for r in S.earliest(df, 37, ["k"]).collect()) == sorted(rows)[:37]
+    assert S.earliest(df, 10_000, ["k"]).count() == len(rows)
+    with pytest.raises(ValueError, match="greater than zero"):
+        S.earliest(df, 0, ["k"])
+
+
+def test_split_sorts_only_the_boundary_day(spark):
+    _, df = dated(spark, 30)
+    plan = S.labelled_split(df, ["k"])._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Exchange" not in plan
+
+
+@pytest.fixture(scope="module")
+def categories(spark):
+    rng = np.random.default_rng(5)
+    n = 4_000
+    frame = pd.DataFrame(
+        {
+            "id": np.arange(n),
+            "a": rng.choice(["hot", "x", "y", "z"], n, p=[0.6, 0.2, 0.1, 0.1]),
+            "b": [None if v < 5 else f"c{v}" for v in rng.integers(0, 60, n)],
+            "y": rng.normal(10, 5, n),
+        }
+    )
+    frame.loc[0, "a"] = "once"
+    frame["fold"] = frame["id"] % 5
+    rows = [tuple(None if v is None else v for v in r) for r in frame.itertuples(index=False)]
+    df = spark.createDataFrame(
+        [(int(i), a, b, float(y), int(f)) for i, a, b, y, f in rows], "id long, a string, b string, y double, fold int"
+    )
+    return frame, df
+
+
+def pandas_encoding(train_part, column, smoothing=10.0):
+    prior = train_part["y"].mean()
+    stats = train_part.assign(c=train_part[column].fillna("__MISSING__")).groupby("c")["y"].agg(["sum", "count"])
+    return prior, (stats["sum"] + smoothing * prior) / (stats["count"] + smoothing)
+
+
+def test_encoding_equals_pandas(spark, categories):
+    frame, df = categories
+    encoder = E.TargetEncoder(["a", "b"])
+    encoder.fit(df, "y")
+    new = spark.createDataFrame([("hot", "c9"), ("never", None), (None, "c7")], "a string, b string")
+    got = {(r["a"], r["b"]): (r["a_encoded"], r["b_encoded"]) for r in encoder.transform(new).collect()}
+    prior, a = pandas_encoding(frame, "a")
+    _, b = pandas_encoding(frame, "b")
+    assert got[("hot", "c9")] == pytest.approx((a["hot"], b["c9"]))
+    assert got[("never", None)] == pytest.approx((prior, b["__MISSING__"]))
+    assert got[(None, "c7")] == pytest.approx((prior, b["c7"]))
+
+
+def test_out_of_fold_equals_a_loop_over_folds(categories):
+    frame, df = categories
+    encoder = E.TargetEncoder(["a", "b"])
+    got = encoder.fit_out_of_fold(df, "y", "fold").orderBy("id").toPandas()
+    for fold in range(5):
+        inside, others = frame[frame["fold"] == fold], frame[frame["fold"] != fold]
+        for column in ("a", "b"):
+            prior, mapping = pandas_encoding(others, column)
+            expected = inside[column].fillna("__MISSING__").map(mapping).fillna(prior)
+            assert np.allclose(got.loc[inside.index, f"{column}_encoded"], expected, atol=1e-9)
+    assert encoder.encoding is not None
+
+
+def test_out_of_fold_differs_from_the_full_fit(spark):
+    df = spark.createDataFrame([("A", 1.0, 0), ("A", 100.0, 1), ("B", 2.0, 0), ("B", 200.0, 1)], "cat string, y double, f int")
+    encoder = E.TargetEncoder(["cat"], smoothing=0)
+    folded = sorted(r["cat_encoded"] for r in encoder.fit_out_of_fold(df, "y", "f").collect())
+    full = sorted(r["cat_encoded"] for r in encoder.transform(df).collect())
+    assert folded == [1.0, 2.0, 100.0, 200.0] and full == [50.5, 50.5, 101.0, 101.0]
+
+
+def test_encoder_errors(categories):
+    _, df = categories
+    with pytest.raises(RuntimeError, match="must be fitted"):
+        E.TargetEncoder(["a"]).transform(df)
+    with pytest.raises(InputError, match="Missing required columns: q"):
+        E.TargetEncoder(["q"]).fit(df, "y")
+    with pytest.raises(InputError, match="2 folds"):
+        E.TargetEncoder(["a"]).fit_out_of_fold(df.withColumn("fold", F.lit(1)), "y", "fold")
+
+
+def test_one_hot_ignores_unseen(spark):
+    train_part = spark.createDataFrame([("b",), ("a",), ("c",)], "cat string")
+    model = Pipeline(stages=E.one_hot_stages(["cat"])).fit(train_part)
+    other = spark.createDataFrame([("a",), ("c",), ("zz",)], "cat string")
+    got = [r["cat__hot"].toArray().tolist() for r in model.transform(other).collect()]
+    assert got == [[1, 0, 0], [0, 0, 1], [0, 0, 0]]
+    with pytest.raises(InputError, match="use target encoding"):
+        E.check_one_hot_size(train_part, ["cat"], 2)
+
+
+def test_metrics(spark):
+    rng = np.random.default_rng(1)
+    y, p = rng.normal(5, 3, 500), rng.normal(5, 3, 500)
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(y, p)], "ARR_DELAY double, predicted_arr_delay double")
+    r = M.regression_metrics(df).first()
+    assert r["rmse"] == pytest.approx(np.sqrt(np.mean((y - p) ** 2)))
+    assert r["mae"] == pytest.approx(np.mean(np.abs(y - p)))
+    assert r["r2"] == pytest.approx(1 - np.sum((y - p) ** 2) / np.sum((y - y.mean()) ** 2))
+    flat = spark.createDataFrame([(1.0, 1.0), (1.0, 2.0)], "ARR_DELAY double, predicted_arr_delay double")
+    assert M.regression_metrics(flat).first()["r2"] == 0.0
+    assert M.regression_metrics(flat.where("predicted_arr_delay = 1")).first()["r2"] == 1.0
+
+
+@pytest.mark.parametrize("partitions, batch", [(1, 10_000), (7, 13)])
+def test_python_model_does_not_depend_on_batches(spark, partitions, batch):
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        df = text_frame(spark, text_rows(100)).repartition(partitions)
+        got = {r["ARR_DELAY"]: r[PREDICTION] for r in score_text(df, DistanceModel).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert got == {r["ARR_DELAY"]: round(float(r["DISTANCE"]) / 100, 2) for r in text_rows(100)}
+
+
+def test_only_features_travel_to_python(spark):
+    features = with_features(text_frame(spark, text_rows(5)).withColumn("DISTANCE", F.col("DISTANCE").cast("double")))
+    plan = score_features(features, DistanceModel)._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "MapInPandas" not in plan
+
+
+@pytest.mark.parametrize("encoder", ["target", "onehot"])
+def test_training_end_to_end(spark, small, tmp_path, encoder):
+    settings = TrainingSettings(RECORD_KEY, encoder=encoder, rounds=3, depth=3, min_rows=20, sample_size=2_000)
+    result = train(trips(spark, small), settings)
+    table = {r["model"]: r for r in result.metrics.collect()}
+    assert table["linear"]["train_rows"] == 1_600 and table["linear"]["test_rows"] == 400
+    assert 0 < table["boosted_trees"]["test_mae"] < table["boosted_trees"]["test_rmse"]
+    importance = result.importance["boosted_trees"].collect()
+    assert sum(r["importance_percent"] for r in importance) == pytest.approx(100)
+
+    features = with_features(trips(spark, small))
+    model = result.models["boosted_trees"]
+    model.save(str(tmp_path / "model"))
+    again = DelayModel.load(spark, str(tmp_path / "model"), encoded=encoder == "target")
+    a = model.transform(features).orderBy(*RECORD_KEY, "FL_DATE").select(PREDICTION).toPandas()
+    b = again.transform(features).orderBy(*RECORD_KEY, "FL_DATE").select(PREDICTION).toPandas()
+    assert a.equals(b) and a[PREDICTION].notna().all()
