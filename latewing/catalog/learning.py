@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import analysis as A
 from ..operators import encoding as E
 from ..operators import metrics as M
-from ..operators.cleaning import clean
+from ..operators.cleaning import clean, usable_rows
 from ..operators.features import with_features
 from ..operators.scoring import score_features, score_text
 from ..operators.split import earliest, find_cut, labelled, labelled_split
@@ -19,7 +19,7 @@ from ..plans.training import TrainingSettings, train
 from ..schema import PREDICTION, TARGET
 from ..sources.trips import RECORD_KEY, text_trips, trip_facts, trips, with_places
 from .quality import _RULES
-from .registry import CLEAN, FACTS, RECORD_ORDER, TEXT, TRIPS, clean_view, query
+from .registry import CLEAN, FACTS, RECORD_ORDER, TEXT, TRIPS, USABLE, clean_view, query
 
 KEYS = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 KEYS_SQL = "l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey, l_suppkey"
@@ -180,6 +180,21 @@ def regression_metrics(spark, folder):
     return M.regression_metrics(trip_facts(spark, folder))
 
 
+_KEY_SQL = f"FL_DATE, {', '.join(KEYS)}, DISTANCE"
+
+
+@query(
+    "actual_against_predicted",
+    f"""WITH {FACTS}, pairs AS (SELECT ARR_DELAY AS y, predicted_arr_delay AS p
+ FROM (SELECT {_KEY_SQL}, ARR_DELAY FROM facts WHERE {USABLE}) a
+ JOIN (SELECT {_KEY_SQL}, predicted_arr_delay FROM facts) b USING ({_KEY_SQL})) {_metric_sql('pairs')}""",
+)
+def actual_against_predicted(spark, folder):
+    facts = trip_facts(spark, folder)
+    key = ["FL_DATE", *RECORD_KEY]
+    return M.regression_metrics(M.actual_against_predicted(usable_rows(facts), facts, key))
+
+
 @query("metrics_by_carrier", f"WITH {FACTS}, {_PAIRS} {_metric_sql('pairs', 'OP_UNIQUE_CARRIER')}")
 def metrics_by_carrier(spark, folder):
     return M.regression_metrics(trip_facts(spark, folder), ["OP_UNIQUE_CARRIER"])

@@ -58,6 +58,16 @@ def p95_by_window(spark, folder):
     return R.percentile_by_window(_events(spark, folder))
 
 
+@query(
+    "sliding_p95",
+    """SELECT strftime(time_bucket(INTERVAL 15 MINUTE, ts) - to_minutes(CAST(15 * k AS BIGINT)), '%Y-%m-%d %H:%M:%S')
+ AS window_start, count(value) AS rows, round(quantile_cont(value, 0.95), 6) AS percentile
+FROM events, unnest(range(4)) AS t(k) GROUP BY 1""",
+)
+def sliding_p95(spark, folder):
+    return R.percentile_by_window(_events(spark, folder), 0.95, "1 hour", "15 minutes")
+
+
 _BUCKETS = " UNION ALL ".join(
     [
         f"SELECT CAST({i + 1} AS BIGINT) AS position, '{b}' AS le, count(*) FILTER (value <= {b}) AS rows FROM events"
