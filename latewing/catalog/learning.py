@@ -30,6 +30,13 @@ def _clean_trips(spark, folder):
     return with_places(clean(trip_facts(spark, folder)), folder)
 
 
+def _early_and_late(spark, folder):
+    """Features of all trips; ``split`` marks the 1000 earliest. The cut is found before the joins."""
+    facts = trip_facts(spark, folder)
+    parts = labelled(facts, find_cut(facts, 1000, RECORD_KEY), RECORD_KEY, ("early", "late"))
+    return with_features(with_places(parts, folder))
+
+
 class DistanceModel:
     """A model in plain Python: one minute per 100 miles."""
 
@@ -95,8 +102,8 @@ SELECT t.route, round(coalesce(m.encoded, prior), 6) AS route_encoded, count(*)
 FROM ranked t LEFT JOIN m ON t.route = m.route, g GROUP BY ALL""",
 )
 def target_encode(spark, folder):
-    df = with_features(trips(spark, folder))
-    encoding = E.TargetEncoder(["route"]).fit(earliest(df, 1000, RECORD_KEY), TARGET)
+    df = _early_and_late(spark, folder)
+    encoding = E.TargetEncoder(["route"]).fit(df.where("split = 'early'"), TARGET)
     return encoding.transform(df).groupBy("route", "route_encoded").agg(F.count("*").alias("n"))
 
 
@@ -136,8 +143,7 @@ SELECT feature, category, count(*) AS rows FROM long WHERE (feature, category) N
 GROUP BY ALL""",
 )
 def unseen_categories(spark, folder):
-    df = with_features(trips(spark, folder))
-    parts = labelled(df, find_cut(df, 1000, RECORD_KEY), RECORD_KEY, ("early", "late"))
+    parts = _early_and_late(spark, folder)
     early, late = (parts.where(F.col("split") == name) for name in ("early", "late"))
     return E.unseen_categories(early, late, ["route", "ORIGIN"])
 
@@ -154,9 +160,9 @@ SELECT s.feature, s.slot, coalesce(u.n, 0) AS rows_hot FROM slots s LEFT JOIN us
 ON s.feature = u.feature AND s.category = u.category""",
 )
 def one_hot(spark, folder):
-    df = with_features(trips(spark, folder)).select(*RECORD_KEY, "FL_DATE", "route", "ORIGIN")
+    df = _early_and_late(spark, folder).select("split", "route", "ORIGIN")
     columns = ["route", "ORIGIN"]
-    fitted = Pipeline(stages=E.one_hot_stages(columns)).fit(earliest(df, 1000, RECORD_KEY))
+    fitted = Pipeline(stages=E.one_hot_stages(columns)).fit(df.where("split = 'early'"))
     sums = fitted.transform(df).select(*(Summarizer.sum(F.col(f"{c}__hot")).alias(c) for c in columns))
     stacked = sums.select(
         F.inline(F.array(*(F.struct(F.lit(c).alias("feature"), vector_to_array(c).alias("sums")) for c in columns)))

@@ -196,7 +196,8 @@ SELECT CASE WHEN r <= floor(n * (1 - 0.2)) THEN 'train' ELSE 'test' END AS split
 count(*) - count(ARR_DELAY) AS null_targets, CAST(0 AS BIGINT) AS null_cells FROM ranked GROUP BY 1""",
 )
 def split_quality(spark, folder):
-    return Q.split_quality(with_features(labelled_split(trips(spark, folder), RECORD_KEY)), features=MODEL_FEATURES)
+    parts = with_places(labelled_split(trip_facts(spark, folder), RECORD_KEY), folder)
+    return Q.split_quality(with_features(parts), features=MODEL_FEATURES)
 
 
 _RAW = f"""{TRIPS}, raw AS (SELECT *,

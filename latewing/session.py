@@ -8,10 +8,23 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(app: str = "latewing", master: str | None = None, **settings) -> SparkSession:
+_SHUFFLE_BYTES_PER_TASK = 128 * 1024 * 1024
+
+
+def shuffle_partitions(shuffled_bytes: int) -> int:
+    """Partitions that keep each shuffled piece near 128 MiB, so that tasks fit in memory."""
+    return max(8, min(100_000, -(-shuffled_bytes // _SHUFFLE_BYTES_PER_TASK)))
+
+
+def build_session(
+    app: str = "latewing", master: str | None = None, shuffled_bytes: int | None = None, **settings
+) -> SparkSession:
     """A session with adaptive execution on and UTC time.
 
-    Sizes (shuffle partitions, memory) are left to the cluster unless given.
+    ``shuffled_bytes`` is the largest amount a job is expected to shuffle; it
+    sets how many partitions a shuffle starts with (adaptive execution merges
+    small ones). Other sizes are left to the cluster unless given, with ``__``
+    for the dots of a setting's name.
     """
     builder = (
         SparkSession.builder.appName(app)
@@ -21,6 +34,10 @@ def build_session(app: str = "latewing", master: str | None = None, **settings)
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
+    if shuffled_bytes is not None:
+        builder = builder.config(
+            "spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(shuffle_partitions(shuffled_bytes))
+        )
     if master:
         builder = builder.master(master)
     for key, value in settings.items():

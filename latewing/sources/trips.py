@@ -88,7 +88,7 @@ def with_places(facts: DataFrame, folder: str) -> DataFrame:
         .join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
         .join(origins, "origin_key")
         .join(dests, "dest_key")
-        .select(*FACT_COLUMNS[:2], "ORIGIN", "DEST", *FACT_COLUMNS[2:])
+        .select(*facts.columns, "ORIGIN", "DEST")
     )
 
 

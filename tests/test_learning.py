@@ -128,6 +128,33 @@ def test_out_of_fold_differs_from_the_full_fit(spark):
     assert folded == [1.0, 2.0, 100.0, 200.0] and full == [50.5, 50.5, 101.0, 101.0]
 
 
+def test_hot_category_is_split_when_the_table_is_too_large_to_broadcast(spark, categories):
+    frame, df = categories
+    encoder = E.TargetEncoder(["a"])
+    encoder.fit(df, "y")
+    expected = {r["id"]: r["a_encoded"] for r in encoder.transform(df).collect()}
+    changed = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    old = {k: spark.conf.get(k, None) for k in changed}
+    for k, v in changed.items():
+        spark.conf.set(k, v)
+    try:
+        joined = encoder.transform(df.repartition(6))
+        got = {r["id"]: r["a_encoded"] for r in joined.collect()}
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert got == expected
+    assert "skew=true" in plan
+
+
 def test_encoder_errors(categories):
     _, df = categories
     with pytest.raises(RuntimeError, match="must be fitted"):
