@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from ..schema import DATE_FORMATS
+from ..schema import DATE_CASTS, DATE_FORMATS
 from .numbers import hhmm_number
 
 
@@ -18,6 +18,8 @@ def parse_date(value: Column) -> Column:
     parsed = F.lit(None).cast("date")
     for shape, pattern in reversed(DATE_FORMATS):
         parsed = F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(pattern)).cast("date")).otherwise(parsed)
+    for shape, kind in reversed(DATE_CASTS):
+        parsed = F.when(text.rlike(shape), text.try_cast(kind).cast("date")).otherwise(parsed)
     return parsed
 
 

@@ -121,13 +121,14 @@ TEST_SHARE = 0.2
 # Upper bounds in seconds of the job-duration histogram.
 DURATION_BOUNDS = (1, 5, 10, 30, 60, 120, 300, 600, 1800, 3600)
 
-# Shapes of date text that are accepted, each with its parse pattern.
+# Shapes of date text that are accepted: those a plain cast reads, with the type
+# to cast to, and the others, with their parse pattern.
+DATE_CASTS = (
+    (r"^\d{4}-\d{1,2}-\d{1,2}$", "date"),
+    (r"^\d{4}-\d{1,2}-\d{1,2}[ T]\d{1,2}:\d{2}:\d{2}(\.\d{1,6})?$", "timestamp_ntz"),
+)
 DATE_FORMATS = (
-    (r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"),
     (r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{2}$", "yyyy-M-d H:mm"),
-    (r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{2}:\d{2}$", "yyyy-M-d H:mm:ss"),
-    (r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{2}:\d{2}\.\d{1,6}$", "yyyy-M-d H:mm:ss.SSSSSS"),
-    (r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{2}:\d{2}$", "yyyy-M-d'T'H:mm:ss"),
     (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"),
     (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"),
     (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2} [AaPp][Mm]$", "M/d/yyyy h:mm:ss a"),

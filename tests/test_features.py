@@ -76,6 +76,11 @@ def test_dates(spark):
         "9/1/2026 11:30:00 PM": date(2026, 9, 1),
         "2026-09-01T10:00:00": date(2026, 9, 1),
         "2026-09-01 10:00:00.123": date(2026, 9, 1),
+        "2026-9-1 7:05": date(2026, 9, 1),
+        "2026-09-01 25:00:00": None,
+        "9/1/2026 13:00:00 PM": None,
+        "9/1/2026": date(2026, 9, 1),
+        "13/1/2026": None,
         " 2026/9/1 ": date(2026, 9, 1),
         "20260901": date(2026, 9, 1),
         "2026-02-30": None,
