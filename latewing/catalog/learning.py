@@ -31,10 +31,14 @@ def _clean_trips(spark, folder):
 
 
 def _early_and_late(spark, folder):
-    """Features of all trips; ``split`` marks the 1000 earliest. The cut is found before the joins."""
+    """All trips with their lane; ``split`` marks the earliest eighth, which lacks some lanes.
+
+    The cut is found before the joins.
+    """
     facts = trip_facts(spark, folder)
-    parts = labelled(facts, find_cut(facts, 1000, RECORD_KEY), RECORD_KEY, ("early", "late"))
-    return with_features(with_places(parts, folder))
+    cut = find_cut(facts, lambda total: int(total * 0.125), RECORD_KEY)
+    parts = with_places(labelled(facts, cut, RECORD_KEY, ("early", "late")), folder)
+    return parts.withColumn("lane", F.concat_ws("_", "OP_UNIQUE_CARRIER", "ORIGIN", "DEST"))
 
 
 class DistanceModel:
@@ -89,22 +93,23 @@ def target_encode_fit(spark, folder):
     return E.TargetEncoder(["ORIGIN", "route"]).fit(df, TARGET).mapping
 
 
-_EARLY = f"""{TRIPS}, ranked AS (SELECT *, concat(ORIGIN, '_', DEST) AS route,
- row_number() OVER (ORDER BY {RECORD_ORDER}) AS r FROM trips), early AS (SELECT * FROM ranked WHERE r <= 1000)"""
+_EARLY = f"""{TRIPS}, ranked AS (SELECT *, concat(OP_UNIQUE_CARRIER, '_', ORIGIN, '_', DEST) AS lane,
+ row_number() OVER (ORDER BY {RECORD_ORDER}) AS r, floor(count(*) OVER () * 0.125) AS cut FROM trips),
+early AS (SELECT * FROM ranked WHERE r <= cut)"""
 
 
 @query(
     "target_encode",
     f"""WITH {_EARLY}, g AS (SELECT avg(ARR_DELAY) AS prior FROM early),
-m AS (SELECT route, (sum(ARR_DELAY) + 10 * any_value(prior)) / (count(ARR_DELAY) + 10) AS encoded FROM early, g
+m AS (SELECT lane, (sum(ARR_DELAY) + 10 * any_value(prior)) / (count(ARR_DELAY) + 10) AS encoded FROM early, g
  WHERE ARR_DELAY IS NOT NULL GROUP BY 1)
-SELECT t.route, round(coalesce(m.encoded, prior), 6) AS route_encoded, count(*) AS n
-FROM ranked t LEFT JOIN m ON t.route = m.route, g GROUP BY ALL""",
+SELECT t.lane, round(coalesce(m.encoded, prior), 6) AS lane_encoded, count(*) AS n
+FROM ranked t LEFT JOIN m ON t.lane = m.lane, g GROUP BY ALL""",
 )
 def target_encode(spark, folder):
     df = _early_and_late(spark, folder)
-    encoding = E.TargetEncoder(["route"]).fit(df.where("split = 'early'"), TARGET)
-    return encoding.transform(df).groupBy("route", "route_encoded").agg(F.count("*").alias("n"))
+    encoding = E.TargetEncoder(["lane"]).fit(df.where("split = 'early'"), TARGET)
+    return encoding.transform(df).groupBy("lane", "lane_encoded").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -136,32 +141,32 @@ def target_encode_oof(spark, folder):
 
 @query(
     "unseen_categories",
-    f"""WITH {_EARLY}, late AS (SELECT * FROM ranked WHERE r > 1000),
-long AS (SELECT 'route' AS feature, route AS category FROM late UNION ALL SELECT 'ORIGIN', ORIGIN FROM late),
-known AS (SELECT 'route' AS feature, route AS category FROM early UNION SELECT 'ORIGIN', ORIGIN FROM early)
+    f"""WITH {_EARLY}, late AS (SELECT * FROM ranked WHERE r > cut),
+long AS (SELECT 'lane' AS feature, lane AS category FROM late UNION ALL SELECT 'ORIGIN', ORIGIN FROM late),
+known AS (SELECT 'lane' AS feature, lane AS category FROM early UNION SELECT 'ORIGIN', ORIGIN FROM early)
 SELECT feature, category, count(*) AS rows FROM long WHERE (feature, category) NOT IN (SELECT (feature, category) FROM known)
 GROUP BY ALL""",
 )
 def unseen_categories(spark, folder):
     parts = _early_and_late(spark, folder)
     early, late = (parts.where(F.col("split") == name) for name in ("early", "late"))
-    return E.unseen_categories(early, late, ["route", "ORIGIN"])
+    return E.unseen_categories(early, late, ["lane", "ORIGIN"])
 
 
 @query(
     "one_hot",
     f"""WITH {_EARLY}, slots AS (
- SELECT 'route' AS feature, route AS category, row_number() OVER (ORDER BY route) - 1 AS slot
- FROM (SELECT DISTINCT route FROM early)
+ SELECT 'lane' AS feature, lane AS category, row_number() OVER (ORDER BY lane) - 1 AS slot
+ FROM (SELECT DISTINCT lane FROM early)
  UNION ALL SELECT 'ORIGIN', ORIGIN, row_number() OVER (ORDER BY ORIGIN) - 1 FROM (SELECT DISTINCT ORIGIN FROM early)),
-used AS (SELECT 'route' AS feature, route AS category, count(*) AS n FROM ranked GROUP BY ALL
+used AS (SELECT 'lane' AS feature, lane AS category, count(*) AS n FROM ranked GROUP BY ALL
  UNION ALL SELECT 'ORIGIN', ORIGIN, count(*) FROM ranked GROUP BY ALL)
 SELECT s.feature, s.slot, coalesce(u.n, 0) AS rows_hot FROM slots s LEFT JOIN used u
 ON s.feature = u.feature AND s.category = u.category""",
 )
 def one_hot(spark, folder):
-    df = _early_and_late(spark, folder).select("split", "route", "ORIGIN")
-    columns = ["route", "ORIGIN"]
+    df = _early_and_late(spark, folder).select("split", "lane", "ORIGIN")
+    columns = ["lane", "ORIGIN"]
     fitted = Pipeline(stages=E.one_hot_stages(columns)).fit(df.where("split = 'early'"))
     sums = fitted.transform(df).select(*(Summarizer.sum(F.col(f"{c}__hot")).alias(c) for c in columns))
     stacked = sums.select(
