@@ -75,10 +75,10 @@ QUERIES = {
 SQL = {
     "op1_top_k": """WITH v AS (
  SELECT CAST(vec_id AS BIGINT) AS vec_id,
-  min(list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT))) AS vec
+  min(list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT))) AS vec
  FROM embeddings
  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-  AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
  GROUP BY 1),
 e AS (SELECT vec_id, unnest(vec) AS x, unnest(range(len(vec))) AS at FROM v),
 s AS (
