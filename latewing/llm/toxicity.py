@@ -2,8 +2,9 @@
 
 Rows are documents (``doc_id``, ``text``) and labels (``doc_id``, ``toxic``); other columns
 are ignored. The two models count n-grams in all labelled texts outside the held-out
-fold but those set aside for calibration. A text's log-likelihoods are divided by its
-number of predicted characters. NULL and blank texts get the share of toxic rows as
+fold but those set aside for calibration. A word whose toxic log-likelihood is not at least
+``FLOOR`` above the ordinary one counts as alike in both, so that thousands of common words
+add no noise; the sum of the differences is divided by the number of words. NULL and blank texts get the share of toxic rows as
 score. Labels other than 0 and 1, and rows without an id, teach nothing; a ``doc_id``
 labelled twice counts twice. Without both classes every score is that share, smoothed.
 No rows give no rows.
@@ -21,15 +22,17 @@ from pyspark.sql import DataFrame, functions as F
 from ..session import staged
 from .common import batch, ddl, fold, held_out, slices
 
-ORDER = 5
+ORDER = 4
 #: Up to this order both classes back off to counts of both together.
 SHARED = 2
 #: Slots of the n-grams of each order, as powers of two: the size of the model whatever the corpus.
-SLOT_BITS = (0, 12, 16, 18, 20, 20)
+SLOT_BITS = (0, 12, 16, 18, 20)
 #: The fold whose labelled rows calibrate the score instead of being counted.
 CALIBRATION_FOLD = 1
-#: Bins of the calibration, over log-ratios per character from -LIMIT to LIMIT.
-CELLS, LIMIT = 4000, 2.0
+#: Least log-ratio of a word that counts, in nats.
+FLOOR = 3.0
+#: Bins of the calibration, over log(1 + STEEP * mean ratio) from 0 to LIMIT.
+CELLS, LIMIT, STEEP = 4000, 10.0, 100.0
 
 _START, _END = 2, 3
 _MEMO = 400_000
@@ -93,8 +96,8 @@ class KneserNey:
             self.shares.append(share)
             self.weights.append(weight)
 
-    def log_ratios(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Per word the toxic less the ordinary log-likelihood, and the number of predicted characters."""
+    def log_ratios(self, words: list[str]) -> np.ndarray:
+        """Per word the toxic less the ordinary log-likelihood."""
         word, place, slots = word_ngrams(words)
         chance = np.full((len(word), 2), 1 / (1 << SLOT_BITS[1]))
         for n in range(1, ORDER + 1):
@@ -102,32 +105,28 @@ class KneserNey:
             context = slots[n - 1][at - 1] if n > 1 else np.zeros(len(at), np.int64)
             chance[at] = self.shares[n][slots[n][at]] + self.weights[n][context] * chance[at]
         ratio = np.log(chance[:, 0] / chance[:, 1]) * (place >= 1)
-        return np.bincount(word, ratio, len(words)), np.bincount(word, place >= 1, len(words))
+        return np.bincount(word, ratio, len(words))
 
 
 class Scorer:
-    """Log-ratio per character of whole texts; equal words are looked up once."""
+    """Evidence of whole texts; equal words are looked up once."""
 
     def __init__(self, model: KneserNey):
-        self.model, self.ratio, self.events = model, {}, {}
+        self.model, self.ratio = model, {}
 
-    def ratios(self, texts: list[str | None]) -> np.ndarray:
-        """NaN for a text without a word."""
+    def evidence(self, texts: list[str | None]) -> np.ndarray:
+        """From 0 up; NaN for a text without a word."""
         split = [(t or "").lower().split() for t in texts]
         unknown = list({w for words in split for w in words if w not in self.ratio})
         if len(self.ratio) + len(unknown) > _MEMO:
             self.ratio.clear()
-            self.events.clear()
             unknown = list({w for words in split for w in words})
         for start in range(0, len(unknown), 20_000):
             part = unknown[start : start + 20_000]
-            ratio, events = self.model.log_ratios(part)
-            self.ratio.update(zip(part, ratio.tolist()))
-            self.events.update(zip(part, events.tolist()))
-        sums = (
-            (sum(map(self.ratio.__getitem__, words)), sum(map(self.events.__getitem__, words))) for words in split
-        )
-        return np.array([r / e if e else np.nan for r, e in sums])
+            ratio = self.model.log_ratios(part)
+            self.ratio.update(zip(part, np.where(ratio >= FLOOR, ratio, 0.0).tolist()))
+        find = self.ratio.__getitem__
+        return np.log1p(STEEP * np.array([sum(map(find, w)) / len(w) if w else np.nan for w in split], float))
 
 
 _GRAM = {
@@ -189,11 +188,11 @@ def count_ngrams(taught: DataFrame) -> dict[int, dict[str, np.ndarray]]:
     return found
 
 
-def fit_logistic(ratio: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) -> tuple[float, float]:
-    """Slope and intercept of the chance of class 1, from counts of both classes by ratio."""
-    x = np.stack([ratio, np.ones_like(ratio)], axis=1)
+def fit_logistic(value: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) -> tuple[float, float]:
+    """Slope and intercept of the chance of class 1, from counts of both classes by value."""
+    x = np.stack([value, np.ones_like(value)], axis=1)
     total, beta, ridge = toxic + ordinary, np.zeros(2), np.diag([1e-6, 1e-6])
-    scale = max(float(np.sqrt(np.average(ratio**2, weights=total))), 1e-9)
+    scale = max(float(np.sqrt(np.average(value**2, weights=total))), 1e-9)
     x[:, 0] /= scale
     for _ in range(100):
         chance = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
@@ -211,9 +210,9 @@ def _calibrate(rows: DataFrame, shared) -> tuple[float, float] | None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for part in slices(batches):
-            ratio = scorer.ratios(part.column(0).to_pylist())
-            toxic = part.column(1).to_numpy()[~np.isnan(ratio)]
-            cell = np.clip((ratio[~np.isnan(ratio)] + LIMIT) / (2 * LIMIT) * CELLS, 0, CELLS - 1).astype(np.int64)
+            found = scorer.evidence(part.column(0).to_pylist())
+            toxic = part.column(1).to_numpy()[~np.isnan(found)]
+            cell = np.clip(found[~np.isnan(found)] / LIMIT * CELLS, 0, CELLS - 1).astype(np.int64)
             own, where = np.unique(cell, return_inverse=True)
             counts = {"toxic": np.bincount(where, toxic, len(own)), "rows": np.bincount(where, minlength=len(own))}
             yield batch(fields, {"cell": own} | {k: v.astype(np.int64) for k, v in counts.items()})
@@ -223,7 +222,7 @@ def _calibrate(rows: DataFrame, shared) -> tuple[float, float] | None:
     toxic, total = summed["toxic"].to_numpy(float), summed["rows"].to_numpy(float)
     if not 0 < toxic.sum() < total.sum():
         return None
-    return fit_logistic((summed["cell"].to_numpy(float) + 0.5) / CELLS * 2 * LIMIT - LIMIT, toxic, total - toxic)
+    return fit_logistic(summed["cell"].to_numpy(float) / CELLS * LIMIT, toxic, total - toxic)
 
 
 def predict(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -250,9 +249,9 @@ def predict(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for part in slices(batches):
             score = np.full(part.num_rows, share)
             if scorer:
-                ratio = scorer.ratios(part.column(1).to_pylist())
-                seen = ~np.isnan(ratio)
-                score[seen] = 1 / (1 + np.exp(-np.clip(line[0] * ratio[seen] + line[1], -700, 700)))
+                found = scorer.evidence(part.column(1).to_pylist())
+                seen = ~np.isnan(found)
+                score[seen] = 1 / (1 + np.exp(-np.clip(line[0] * found[seen] + line[1], -700, 700)))
             yield batch(fields, {"doc_id": part.column(0), "score": score})
 
     scored = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, ddl(fields))
