@@ -34,6 +34,7 @@ _PIECE = {
     "start": pa.int64(),
     "length": pa.int64(),
     "ids_crc32": pa.int64(),
+    "piece_key": pa.int64(),
 }
 _IDS = {"ids": pa.list_(pa.int32())}
 
@@ -100,12 +101,14 @@ def cut_pieces(
 
     Only a document longer than ``capacity`` is cut: its first piece takes the
     remainder, the others are full. ``tokenizer`` names a public vocabulary file.
+    ``piece_key`` numbers the pieces once they are written.
     """
     fields = _PIECE | (_IDS if keep_ids else {})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path = public_tokenizers.path(tokenizer)
         encoder = worker_state(("words", path), lambda: WordEncoder(path))
+        key = TaskContext.get().partitionId() << 40
         for part in slices(batches):
             rows = {name: [] for name in fields}
             for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
@@ -119,6 +122,8 @@ def cut_pieces(
                     rows["start"].append(start)
                     rows["length"].append(end - start)
                     rows["ids_crc32"].append(zlib.crc32(own))
+                    rows["piece_key"].append(key)
+                    key += 1
                     if keep_ids:
                         rows["ids"].append(np.frombuffer(own, "<u4").astype(np.int32))
             yield batch(fields, rows)
@@ -184,59 +189,52 @@ def plan_runs(counts: np.ndarray, capacity: int = CAPACITY) -> dict[int, np.ndar
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """``pieces`` (``doc_id``, ``piece``, ``length`` and others) with ``sequence_id`` and ``offset``.
+    """``pieces`` (``piece_key``, ``doc_id``, ``piece``, ``length`` and others) with ``sequence_id`` and ``offset``.
 
-    Pieces are range-sorted by length in the cluster and ranked among equal lengths by
-    task; to the driver come a count per length and task, at most one for each task
-    and one for each length. The runs go back to the tasks, which place each piece.
+    The pieces are written first, which fixes their keys. Keys alone are range-sorted by
+    length in the cluster and ranked among equal lengths by task; to the driver come a
+    count per length and task, at most one for each task and one for each length. The runs go
+    back to the tasks, which place each key; a join brings the places to the pieces.
     """
-    spark = pieces.sparkSession
-    fields = spark.createDataFrame([], pieces.schema).selectExpr(
-        "*", "0 AS __task", "CAST(0 AS BIGINT) AS __rank"
-    )
-    at = pieces.columns.index("length")
+    ranked_fields = {"length": pa.int64(), "piece_key": pa.int64(), "task": pa.int32(), "rank": pa.int64()}
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, last, seen = TaskContext.get().partitionId(), None, 0
         for part in batches:
-            length = part.column(at).to_numpy()
+            length = part.column(0).to_numpy()
             if not len(length):
                 continue
-            row = np.arange(len(length))
             starts = np.flatnonzero(np.append(True, length[1:] != length[:-1]))
-            own = row - np.repeat(starts, np.diff(np.append(starts, len(length))))
+            own = np.arange(len(length)) - np.repeat(starts, np.diff(np.append(starts, len(length))))
             own[: starts[1] if len(starts) > 1 else len(own)] += seen if length[0] == last else 0
             last, seen = length[-1], int(own[-1]) + 1
-            extra = [pa.array(np.full(len(row), task), pa.int32()), pa.array(own, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*part.columns, *extra], names=fields_names)
+            yield batch(ranked_fields, {
+                "length": length, "piece_key": part.column(1), "task": np.full(len(own), task), "rank": own,
+            })
 
-    fields_names = fields.columns
-    order = ["length", "doc_id", "piece"]
-    sorted_rows = staged(pieces, "pieces").repartitionByRange(*order).sortWithinPartitions(*order)
-    ranked = staged(sorted_rows.mapInArrow(rank, fields.schema), "ranked")
+    written = staged(pieces, "pieces")
+    order = ["length", "doc_id", "piece", "piece_key"]
+    keys = written.select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
+    ranked = staged(keys.select("length", "piece_key").mapInArrow(rank, ddl(ranked_fields)), "ranked")
 
     counts, first = np.zeros(capacity + 1, np.int64), {}
-    for length, task, count in sorted(tuple(r) for r in ranked.groupBy("length", "__task").count().collect()):
+    for length, task, count in sorted(tuple(r) for r in ranked.groupBy("length", "task").count().collect()):
         first[length, task] = int(counts[length])
         counts[length] += count
     runs = plan_runs(counts, capacity)
-    out = spark.createDataFrame([], pieces.schema).selectExpr(
-        "*", "CAST(0 AS BIGINT) AS sequence_id", "CAST(0 AS BIGINT) AS offset"
-    )
-    out_names = out.columns
+    placed_fields = {"piece_key": pa.int64(), "sequence_id": pa.int64(), "offset": pa.int64()}
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            length = part.column(at).to_numpy()
-            *own, task, local = part.columns
-            tasks, locals_ = task.to_numpy(), local.to_numpy()
+            length, key, task, local = (c.to_numpy() for c in part.columns)
             sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
-            for n, t in set(zip(length.tolist(), tasks.tolist())):
-                here = np.flatnonzero((length == n) & (tasks == t))
-                ranks = first[n, t] + locals_[here]
+            for n, t in set(zip(length.tolist(), task.tolist())):
+                here = np.flatnonzero((length == n) & (task == t))
+                ranks = first[n, t] + local[here]
                 run = runs[n][np.searchsorted(runs[n][:, 0], ranks, "right") - 1]
                 sequence[here] = run[:, 1] + ranks - run[:, 0]
                 offset[here] = run[:, 2]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(sequence), pa.array(offset)], names=out_names)
+            yield batch(placed_fields, {"piece_key": key, "sequence_id": sequence, "offset": offset})
 
-    return ranked.mapInArrow(place, out.schema)
+    placed = ranked.mapInArrow(place, ddl(placed_fields))
+    return written.join(placed, "piece_key").drop("piece_key")
