@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -284,5 +286,5 @@ def train_predict(spark, folder):
 
 @query("feature_importance")
 def feature_importance(spark, folder):
-    only_trees = TrainingSettings(record_key=RECORD_KEY, rounds=5, depth=5, models=("boosted_trees",))
-    return train(trips(spark, folder), only_trees).importance["boosted_trees"].limit(60)
+    only_trees = replace(SETTINGS, models=("boosted_trees",))
+    return train(trips(spark, folder), only_trees).importance["boosted_trees"]

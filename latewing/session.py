@@ -13,7 +13,7 @@ _SHUFFLE_BYTES_PER_TASK = 128 * 1024 * 1024
 
 def shuffle_partitions(shuffled_bytes: int) -> int:
     """Partitions that keep each shuffled piece near 128 MiB, so that tasks fit in memory."""
-    return max(8, min(100_000, -(-shuffled_bytes // _SHUFFLE_BYTES_PER_TASK)))
+    return max(8, -(-shuffled_bytes // _SHUFFLE_BYTES_PER_TASK))
 
 
 def build_session(

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import re
+import uuid
+
+from pyspark.sql import DataFrame
 
 # Cells are written as they were read: no trimming, blanks stay blank.
 _CSV = {
@@ -17,18 +20,28 @@ _CSV = {
 
 
 def publish(df: DataFrame, folder: str, run: str, key: str = "run_id") -> None:
-    """Store the rows of one run as its own partition, replacing an earlier try.
+    """Store the rows of one run as its own partition, replacing an earlier try, also when there are none now.
 
-    Spark stages the files and moves them at job commit, so readers see all of a
-    run or nothing of it; running it again gives the same folder.
+    The rows are written beside the partition and moved there in the end, so a
+    failure leaves the earlier try as it was. An input column named like the
+    partition is refused: reading it back would give the run's name instead.
     """
-    (
-        df.withColumn(key, F.lit(run))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(key)
-        .parquet(folder)
-    )
+    if key.lower() in (c.lower() for c in df.columns):
+        raise ValueError(f"The input has a column {key!r}; rename it before publishing.")
+    if not re.fullmatch(r"[\w.-]+", run):
+        raise ValueError(f"A run's name is letters, digits, '_', '.' and '-', not {run!r}.")
+    spark = df.sparkSession
+    staging = f"{folder}/_{uuid.uuid4().hex}"
+    paths = spark._jvm.org.apache.hadoop.fs.Path
+    files = paths(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        df.write.parquet(staging)
+        target = paths(f"{folder}/{key}={run}")
+        files.delete(target, True)
+        if not files.rename(paths(staging), target):
+            raise OSError(f"could not move {staging} to {target}")
+    finally:
+        files.delete(paths(staging), True)
 
 
 def export_csv(df: DataFrame, folder: str, order: str | None = None, compression: str = "none") -> None:

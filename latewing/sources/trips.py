@@ -83,8 +83,8 @@ def with_places(facts: DataFrame, folder: str) -> DataFrame:
     )
     return (
         facts
-        # Both sides grow with the data, so neither is ever worth broadcasting.
-        .join(orders.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
+        # No hint: Spark knows both sizes and may broadcast what a filter has made small.
+        .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
         .join(origins, "origin_key")
         .join(dests, "dest_key")

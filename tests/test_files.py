@@ -190,3 +190,26 @@ def test_scored_file_errors(spark, tmp_path, text, message):
 def test_typed_predictions(spark):
     frame = files.load_predictions(spark.createDataFrame(SCORED, SCORED_SCHEMA)).frame
     assert frame.count() == 8 and dict(frame.dtypes)["FL_DATE"] == "date"
+
+
+def test_publish_replaces_a_run_even_with_nothing(spark, tmp_path):
+    from latewing.sources.sinks import publish
+
+    rows = spark.createDataFrame([(1,), (2,)], "x int")
+    folder = str(tmp_path / "out")
+    publish(rows, folder, "r1")
+    publish(rows, folder, "r2")
+    publish(rows.limit(0), folder, "r1")
+    assert [r["run_id"] for r in spark.read.parquet(folder).collect()] == ["r2", "r2"]
+    with pytest.raises(ValueError, match="run_id"):
+        publish(rows.selectExpr("x", "'mine' AS RUN_ID"), folder, "r1")
+
+
+def test_white_space_is_no_text(spark):
+    from pyspark.sql import functions as F
+
+    from latewing.operators.quality import text_rules
+
+    rows = spark.createDataFrame([("\t",), ("  ",), ("",), (None,), (" a",)], "ORIGIN string")
+    broken = rows.select(F.coalesce(text_rules(["ORIGIN"])[0].broken, F.lit(False)).alias("b")).collect()
+    assert [r["b"] for r in broken] == [True, True, True, True, False]
