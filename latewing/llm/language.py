@@ -147,12 +147,16 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel | None:
     counts = document_counts(taught)
     idf = np.log((1 + counts[SLOTS]) / (1 + counts[:SLOTS])) + 1
 
-    spark = docs.sparkSession
-    shares = spark.createDataFrame(
-        [(lang, i, min(1.0, sample / sizes[lang])) for i, lang in enumerate(languages)],
-        "lang string, target int, share double",
+    # Literals, not a join: a join on the language would shuffle whole texts by a few hot keys.
+    shares = F.create_map(*(
+        part
+        for i, lang in enumerate(languages)
+        for part in (F.lit(lang), F.struct(F.lit(i).alias("target"), F.lit(min(1.0, sample / sizes[lang])).alias("share")))
+    ))
+    known = taught.select("doc_id", "text", F.element_at(shares, F.col("lang")).alias("known"))
+    chosen = known.where(share_kept(F.col("doc_id"), F.col("known.share"))).select(
+        "doc_id", "text", F.col("known.target").alias("target")
     )
-    chosen = taught.join(shares, "lang").where(share_kept(F.col("doc_id"), F.col("share")))
     shard = F.pmod(F.xxhash64("doc_id", F.lit("shard")), F.lit(4 * SHARDS)).cast("int")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
