@@ -204,30 +204,39 @@ def fit_logistic(value: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) ->
     return float(beta[0] / scale), float(beta[1])
 
 
-def _calibrate(rows: DataFrame, shared) -> tuple[float, float] | None:
-    fields = {"cell": pa.int32(), "toxic": pa.int64(), "rows": pa.int64()}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
-        for part in slices(batches):
-            found = scorer.evidence(part.column(0).to_pylist())
-            toxic = part.column(1).to_numpy()[~np.isnan(found)]
-            cell = np.clip(found[~np.isnan(found)] / LIMIT * CELLS, 0, CELLS - 1).astype(np.int64)
-            own, where = np.unique(cell, return_inverse=True)
-            counts = {"toxic": np.bincount(where, toxic, len(own)), "rows": np.bincount(where, minlength=len(own))}
-            yield batch(fields, {"cell": own} | {k: v.astype(np.int64) for k, v in counts.items()})
-
-    cells = rows.select("text", F.col("toxic").cast("int")).mapInArrow(run, ddl(fields))
-    summed = cells.groupBy("cell").agg(F.sum("toxic").alias("toxic"), F.sum("rows").alias("rows")).toPandas()
+def _calibrate(rated: DataFrame, known: DataFrame) -> tuple[float, float] | None:
+    """Slope and intercept from labelled rows of ``rated`` (``doc_id``, ``evidence``)."""
+    cell = F.least(F.floor(F.col("evidence") / LIMIT * CELLS), F.lit(CELLS - 1)).cast("int")
+    counted = rated.where("evidence IS NOT NULL").join(known, "doc_id").groupBy(cell.alias("cell"))
+    summed = counted.agg(F.sum("toxic").alias("toxic"), F.count("*").alias("rows")).toPandas()
     toxic, total = summed["toxic"].to_numpy(float), summed["rows"].to_numpy(float)
     if not 0 < toxic.sum() < total.sum():
         return None
     return fit_logistic(summed["cell"].to_numpy(float) / CELLS * LIMIT, toxic, total - toxic)
 
 
+def rate(docs: DataFrame, model: KneserNey) -> DataFrame:
+    """``doc_id`` and ``evidence`` of every document; NULL evidence for a text without a word."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    fields = {"doc_id": pa.int64(), "evidence": pa.float64()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
+        for part in slices(batches):
+            found = scorer.evidence(part.column(1).to_pylist())
+            yield batch(fields, {"doc_id": part.column(0), "evidence": pa.array(found, mask=np.isnan(found))})
+
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, ddl(fields))
+
+
 def predict(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``doc_id``, ``held_out``, ``score`` and ``predicted`` for every document."""
-    known = labels.where("toxic IN (0, 1)").select(F.col("doc_id").cast("bigint").alias("doc_id"), "toxic")
+    """``doc_id``, ``held_out``, ``score`` and ``predicted`` for every document.
+
+    Texts meet labels once, to be counted; calibration joins the stored evidence,
+    a number for each document.
+    """
+    # Labels grow with the documents, so their join is planned alike at every size.
+    known = labels.where("toxic IN (0, 1)").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int")).hint("merge")
     labelled = (
         docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
         .where(~held_out(F.col("doc_id")))
@@ -237,25 +246,15 @@ def predict(docs: DataFrame, labels: DataFrame) -> DataFrame:
     classes = labelled.groupBy("toxic").count().collect()  # two rows
     number = {r["toxic"]: r["count"] for r in classes}
     share = (number.get(1, 0) + 1) / (sum(number.values()) + 2)
-    shared, line = None, None
+    rated, line = docs.select(F.col("doc_id").cast("bigint").alias("doc_id")), None
     if len(number) == 2:
         model = KneserNey(count_ngrams(labelled.where(~aside)))
-        shared = docs.sparkSession.sparkContext.broadcast(model)
-        line = _calibrate(labelled.where(aside), shared)
-    fields = {"doc_id": pa.int64(), "score": pa.float64()}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value) if line else None
-        for part in slices(batches):
-            score = np.full(part.num_rows, share)
-            if scorer:
-                found = scorer.evidence(part.column(1).to_pylist())
-                seen = ~np.isnan(found)
-                score[seen] = 1 / (1 + np.exp(-np.clip(line[0] * found[seen] + line[1], -700, 700)))
-            yield batch(fields, {"doc_id": part.column(0), "score": score})
-
-    scored = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, ddl(fields))
-    return scored.select(
-        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
-        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        rated = staged(rate(docs, model), "toxicity")
+        line = _calibrate(rated.where(aside), known)
+    score = F.lit(share)
+    if line:
+        logit = F.col("evidence") * line[0] + line[1]
+        score = F.coalesce(1 / (1 + F.exp(-F.least(F.greatest(logit, F.lit(-700.0)), F.lit(700.0)))), F.lit(share))
+    return rated.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score")).withColumn(
+        "predicted", (F.col("score") >= 0.5).cast("int")
     )
