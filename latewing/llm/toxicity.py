@@ -153,9 +153,12 @@ def count_ngrams(taught: DataFrame) -> dict[int, dict[str, np.ndarray]]:
                 key = slots[n][at]
                 context = slots[n - 1][at - 1] if n > 1 else np.zeros(len(at), np.int64)
                 suffix = slots[n - 1][at] if n > 1 else np.zeros(len(at), np.int64)
-                own, first, where = np.unique(key, return_index=True, return_inverse=True)
+                own, where = np.unique(key, return_inverse=True)
+                shorter = np.full((2, len(own)), 1 << 30)  # the least ones where n-grams share a slot, whatever their order
+                np.minimum.at(shorter[0], where, context)
+                np.minimum.at(shorter[1], where, suffix)
                 counts = [np.bincount(where, times[start + word[at], k], len(own)) for k in range(2)]
-                sums[n].append((own, context[first], suffix[first], *counts))
+                sums[n].append((own, *shorter, *counts))
         for n, parts in sums.items():
             if parts:
                 own, context, suffix, toxic, ordinary = (np.concatenate(p) for p in zip(*parts))
