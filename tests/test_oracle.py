@@ -15,6 +15,10 @@ def test_matches_sql(spark, small, connection, name):
     assert oracle.differences(result, connection, entry.oracle_sql()[name]) == []
 
 
+def test_some_categories_are_unseen(spark, small):
+    assert entry.queries()["unseen_categories"](spark, small).count() > 0
+
+
 def test_entry_has_rows(spark):
     assert entry.entry(spark).count() > 0
 
