@@ -9,9 +9,10 @@ from ..operators import quality as Q
 from ..operators.features import with_features
 from ..operators.split import labelled_split
 from ..schema import MODEL_FEATURES
-from ..plans.batch_scoring import quarantine
+from ..session import new_folder
 from ..sources import files
-from ..sources.trips import RECORD_KEY, raw_trips, text_trips, trip_facts, trips, with_places
+from ..sources.sinks import export_csv
+from ..sources.trips import RECORD_KEY, raw_facts, text_trips, trip_facts, trips, with_places
 from .registry import CLEAN, FACT_TEXT, FACTS, RECORD_ORDER, TEXT, TRIPS, USABLE, date_sql, finite_sql, hhmm_sql, query
 
 ROW_LABEL = "concat_ws('/', l_orderkey, l_linenumber, l_partkey, l_suppkey)"
@@ -26,20 +27,53 @@ def _text(spark, folder):
     return text_trips(trips(spark, folder))
 
 
+def _fact_text(spark, folder):
+    """For what reads no places: a projection of the record table."""
+    return text_trips(trip_facts(spark, folder))
+
+
 @query("row_count", f"WITH {FACT_TEXT} SELECT count(*) AS rows FROM text")
 def row_count(spark, folder):
-    return text_trips(trip_facts(spark, folder)).agg(F.count("*").alias("rows"))
+    written = new_folder(spark, "text")
+    export_csv(_fact_text(spark, folder), written)
+    return files.read_text(spark, written).agg(F.count("*").alias("rows"))
+
+
+@query(
+    "csv_roundtrip",
+    f"""WITH {FACTS}, raw AS (SELECT *, CASE WHEN l_orderkey % 101 = 0 THEN year(FL_DATE) + 1 ELSE year(FL_DATE) END AS YEAR,
+ CASE WHEN l_orderkey % 103 = 0 THEN 0 ELSE month(FL_DATE) END AS MONTH FROM facts)
+SELECT CAST(YEAR AS BIGINT) AS YEAR, CAST(MONTH AS BIGINT) AS MONTH, count(*) AS n, count(ARR_DELAY) AS known,
+sum(ARR_DELAY) AS delay_sum, count(CASE WHEN MONTH > 6 THEN 1 END) AS notes, CAST(0 AS BIGINT) AS corrupt
+FROM raw GROUP BY ALL""",
+)
+def csv_roundtrip(spark, folder):
+    """Monthly files with two headers, one with a column more and line breaks in its cells, read as one table."""
+    raw = raw_facts(spark, folder).select("YEAR", "MONTH", "OP_UNIQUE_CARRIER", "ARR_DELAY", "DISTANCE")
+    written = new_folder(spark, "months")
+    export_csv(raw.where("MONTH <= 6"), f"{written}/early")
+    late = raw.where("MONTH > 6").withColumn("NOTE", F.concat(F.lit('said "late",\n'), "OP_UNIQUE_CARRIER"))
+    export_csv(late.select(*reversed(late.columns)), f"{written}/late")
+    whole = files.read_records(spark, f"{written}/*", corrupt="unread")
+    noted = F.col("NOTE") == F.concat(F.lit('said "late",\n'), "OP_UNIQUE_CARRIER")
+    return whole.groupBy("YEAR", "MONTH").agg(
+        F.count("*").alias("n"),
+        F.count("ARR_DELAY").alias("known"),
+        F.sum("ARR_DELAY").alias("delay_sum"),
+        F.count_if(noted).alias("notes"),
+        F.count("unread").alias("corrupt"),
+    )
 
 
 @query(
     "valid_predictions",
-    f"""WITH {TEXT}, valid AS (SELECT {date_sql('FL_DATE')} AS d, OP_UNIQUE_CARRIER,
+    f"""WITH {FACT_TEXT}, valid AS (SELECT {date_sql('FL_DATE')} AS d, OP_UNIQUE_CARRIER,
  {finite_sql('predicted_arr_delay')} AS p FROM text)
 SELECT OP_UNIQUE_CARRIER, strftime(d, '%Y-%m-%d') AS FL_DATE, count(*) AS n, sum(p) AS delay_sum
 FROM valid WHERE p IS NOT NULL GROUP BY ALL""",
 )
 def valid_predictions(spark, folder):
-    valid = files.valid_predictions(_text(spark, folder))
+    valid = files.valid_predictions(_fact_text(spark, folder))
     return valid.groupBy("OP_UNIQUE_CARRIER", "FL_DATE").agg(
         F.count("*").alias("n"), F.sum("predicted_arr_delay").alias("delay_sum")
     )
@@ -47,23 +81,23 @@ def valid_predictions(spark, folder):
 
 @query(
     "load_notes",
-    f"""WITH {TEXT}, v AS (SELECT {date_sql('FL_DATE')} AS d, {finite_sql('predicted_arr_delay')} AS p FROM text)
+    f"""WITH {FACT_TEXT}, v AS (SELECT {date_sql('FL_DATE')} AS d, {finite_sql('predicted_arr_delay')} AS p FROM text)
 SELECT count(*) AS file_rows, count(*) - count(p) AS invalid_predictions,
 count(*) FILTER (p IS NOT NULL AND d IS NULL) AS invalid_dates FROM v""",
 )
 def load_notes(spark, folder):
-    return files.load_notes(_text(spark, folder))
+    return files.load_notes(_fact_text(spark, folder))
 
 
 @query(
     "union_months",
-    f"""WITH {TRIPS}, raw AS (SELECT *, CASE WHEN l_orderkey % 101 = 0 THEN year(FL_DATE) + 1 ELSE year(FL_DATE) END AS YEAR,
- CASE WHEN l_orderkey % 103 = 0 THEN 0 ELSE month(FL_DATE) END AS MONTH FROM trips)
+    f"""WITH {FACTS}, raw AS (SELECT *, CASE WHEN l_orderkey % 101 = 0 THEN year(FL_DATE) + 1 ELSE year(FL_DATE) END AS YEAR,
+ CASE WHEN l_orderkey % 103 = 0 THEN 0 ELSE month(FL_DATE) END AS MONTH FROM facts)
 SELECT CAST(YEAR AS BIGINT) AS YEAR, CAST(MONTH AS BIGINT) AS MONTH, count(*) AS n,
 count(CASE WHEN MONTH <= 6 THEN DIVERTED END) AS diverted_known FROM raw GROUP BY ALL""",
 )
 def union_months(spark, folder):
-    raw = raw_trips(spark, folder)
+    raw = raw_facts(spark, folder)
     whole = files.union_months(raw.where("MONTH <= 6"), raw.where("MONTH > 6").drop("DIVERTED"))
     return whole.groupBy("YEAR", "MONTH").agg(F.count("*").alias("n"), F.count("DIVERTED").alias("diverted_known"))
 
@@ -124,17 +158,18 @@ _BUSINESS = {
 
 def _count_sql(rules: dict, names=None) -> str:
     chosen = {n: rules[n] for n in (names or rules)}
+    view = TEXT if any(c in ("ORIGIN", "DEST") for c, _ in chosen.values()) else FACT_TEXT
     parts = [
         f"SELECT CAST({i + 1} AS BIGINT) AS position, '{n}' AS rule, '{c}' AS \"column\", "
         f"count(*) FILTER ({test}) AS broken FROM text"
         for i, (n, (c, test)) in enumerate(chosen.items())
     ]
-    return f"WITH {TEXT} " + " UNION ALL ".join(parts)
+    return f"WITH {view} " + " UNION ALL ".join(parts)
 
 
 @query("dq_numeric", _count_sql(_RULES, [n for n in _RULES if n.endswith("_numeric")]))
 def dq_numeric(spark, folder):
-    return Q.rule_counts(_text(spark, folder), Q.numeric_rules())
+    return Q.rule_counts(_fact_text(spark, folder), Q.numeric_rules())
 
 
 @query("dq_text_date", _count_sql(_RULES, [n for n in _RULES if n.endswith(("_blank", "_date"))]))
@@ -144,7 +179,7 @@ def dq_text_date(spark, folder):
 
 @query("dq_features", _count_sql(_RULES, ["CRS_DEP_TIME_clock", "DISTANCE_negative"]))
 def dq_features(spark, folder):
-    return Q.rule_counts(_text(spark, folder), Q.feature_rules())
+    return Q.rule_counts(_fact_text(spark, folder), Q.feature_rules())
 
 
 @query("dq_business", _count_sql(_BUSINESS))
@@ -181,12 +216,11 @@ _BROKEN_LIST = ", ".join(f"CASE WHEN {test} THEN '{n}' END" for n, (_, test) in
 SELECT CASE WHEN reasons = '' THEN 'good' ELSE 'quarantine' END AS sink, reasons, count(*) AS n FROM marked GROUP BY ALL""",
 )
 def quarantine_counts(spark, folder):
-    good, bad = quarantine(_text(spark, folder))
-    reasons = F.array_join(Q.BROKEN, ",")
-    both = good.select(F.lit("good").alias("sink"), F.lit("").alias("reasons")).unionByName(
-        bad.select(F.lit("quarantine").alias("sink"), reasons.alias("reasons"))
-    )
-    return both.groupBy("sink", "reasons").agg(F.count("*").alias("n"))
+    # Both outputs are cut from the same flagged rows, so these are counted once.
+    marked = Q.flagged(_text(spark, folder), Q.scoring_rules())
+    reasons = F.array_join(Q.BROKEN, ",").alias("reasons")
+    counted = marked.groupBy(reasons).agg(F.count("*").alias("n"))
+    return counted.select(F.when(F.col("reasons") == "", "good").otherwise("quarantine").alias("sink"), "reasons", "n")
 
 
 @query(
@@ -200,9 +234,9 @@ def split_quality(spark, folder):
     return Q.split_quality(with_features(parts), features=MODEL_FEATURES)
 
 
-_RAW = f"""{TRIPS}, raw AS (SELECT *,
+_RAW = f"""{FACTS}, raw AS (SELECT *,
  CASE WHEN l_orderkey % 101 = 0 THEN year(FL_DATE) + 1 ELSE year(FL_DATE) END AS YEAR,
- CASE WHEN l_orderkey % 103 = 0 THEN 0 ELSE month(FL_DATE) END AS MONTH FROM trips)"""
+ CASE WHEN l_orderkey % 103 = 0 THEN 0 ELSE month(FL_DATE) END AS MONTH FROM facts)"""
 
 
 @query(
@@ -212,7 +246,7 @@ count(*) FILTER (month(FL_DATE) <> MONTH) AS month_mismatches,
 count(*) FILTER (year(FL_DATE) <> YEAR OR month(FL_DATE) <> MONTH) AS row_mismatches FROM raw""",
 )
 def date_consistency(spark, folder):
-    return Q.date_consistency(raw_trips(spark, folder))
+    return Q.date_consistency(raw_facts(spark, folder))
 
 
 @query(
@@ -223,7 +257,7 @@ l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey, l_suppkey,
 ORDER BY raw.FL_DATE, l_orderkey, l_linenumber, l_partkey, l_suppkey, DISTANCE LIMIT 20""",
 )
 def date_mismatches(spark, folder):
-    return Q.date_mismatches(raw_trips(spark, folder), RECORD_KEY)
+    return Q.date_mismatches(raw_facts(spark, folder), RECORD_KEY)
 
 
 @query(

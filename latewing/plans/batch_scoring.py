@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..operators import quality as Q
 from ..operators.row_index import with_scan_position
 from ..operators.scoring import score_text
+from ..session import staged
 from ..sources.files import file_rows, inspect_input, read_text
 from ..sources.sinks import publish
 
@@ -17,22 +18,28 @@ def quarantine(text: DataFrame) -> tuple[DataFrame, DataFrame]:
     return Q.good_rows(marked), Q.bad_rows(marked)
 
 
-def score_file(spark: SparkSession, path: str, model, folder: str, run: str, strict: bool = True) -> int | None:
-    """Score ``path`` into ``folder`` as run ``run``.
+def score_file(spark: SparkSession, path: str, model, folder: str, run: str, strict: bool = True) -> int:
+    """Score the CSV file or folder ``path`` into ``folder`` as run ``run``; returns the number of scored rows.
 
-    Strict: any bad row fails the run with its column and file rows, nothing is
-    written, and the number of rows is returned. Otherwise the bad rows go to
-    ``<folder>/quarantine`` and the rest is scored.
+    Strict: any bad row fails the run with its column and file rows, and nothing is
+    written. Otherwise the bad rows go to ``<folder>/quarantine`` and the rest is scored;
+    both are published together.
     """
     inspect_input(spark, path)
     text = read_text(spark, path)
     if not strict:
-        good, bad = quarantine(text)
-        publish(score_text(good, model), f"{folder}/scored", run)
-        publish(bad.withColumn(Q.BROKEN, F.array_join(Q.BROKEN, ",")), f"{folder}/quarantine", run)
-        return None
+        # Both outputs come from rows that are parsed and judged once.
+        marked = staged(Q.flagged(text, Q.scoring_rules()), "flagged")
+        good, bad = Q.good_rows(marked), Q.bad_rows(marked)
+        publish({f"{folder}/scored": score_text(good, model), f"{folder}/quarantine": with_reasons(bad)}, run)
+        return good.count()
     rows = Q.raise_if_broken(
         with_scan_position(text), Q.scoring_rules(), lambda hits: file_rows(hits, spark, path)
     )
-    publish(score_text(text, model), f"{folder}/scored", run)
+    publish({f"{folder}/scored": score_text(text, model)}, run)
     return rows
+
+
+def with_reasons(bad: DataFrame) -> DataFrame:
+    """Bad rows with the names of their broken rules as one text."""
+    return bad.withColumn(Q.BROKEN, F.array_join(Q.BROKEN, ","))

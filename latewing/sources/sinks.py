@@ -19,29 +19,34 @@ _CSV = {
 }
 
 
-def publish(df: DataFrame, folder: str, run: str, key: str = "run_id") -> None:
-    """Store the rows of one run as its own partition, replacing an earlier try, also when there are none now.
+def publish(outputs: dict[str, DataFrame], run: str, key: str = "run_id") -> None:
+    """Store the rows of one run, folder by folder, as its own partition of each.
 
-    The rows are written beside the partition and moved there in the end, so a
-    failure leaves the earlier try as it was. An input column named like the
-    partition is refused: reading it back would give the run's name instead.
+    An earlier try is replaced, also when there are no rows now. All outputs are written
+    beside their partitions and moved there in the end, so a failing job leaves every
+    folder as it was. An input column named like the partition is refused:
+    reading it back would give the run's name instead.
     """
-    if key.lower() in (c.lower() for c in df.columns):
-        raise ValueError(f"The input has a column {key!r}; rename it before publishing.")
     if not re.fullmatch(r"[\w.-]+", run):
         raise ValueError(f"A run's name is letters, digits, '_', '.' and '-', not {run!r}.")
-    spark = df.sparkSession
-    staging = f"{folder}/_{uuid.uuid4().hex}"
-    paths = spark._jvm.org.apache.hadoop.fs.Path
-    files = paths(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    for df in outputs.values():
+        if key.lower() in (c.lower() for c in df.columns):
+            raise ValueError(f"The input has a column {key!r}; rename it before publishing.")
+    moves = []
     try:
-        df.write.parquet(staging)
-        target = paths(f"{folder}/{key}={run}")
-        files.delete(target, True)
-        if not files.rename(paths(staging), target):
-            raise OSError(f"could not move {staging} to {target}")
+        for folder, df in outputs.items():
+            spark = df.sparkSession
+            paths = spark._jvm.org.apache.hadoop.fs.Path
+            staging, target = paths(f"{folder}/_{uuid.uuid4().hex}"), paths(f"{folder}/{key}={run}")
+            moves.append((staging.getFileSystem(spark._jsc.hadoopConfiguration()), staging, target))
+            df.write.parquet(staging.toString())
+        for files, staging, target in moves:
+            files.delete(target, True)
+            if not files.rename(staging, target):
+                raise OSError(f"could not move {staging.toString()} to {target.toString()}")
     finally:
-        files.delete(paths(staging), True)
+        for files, staging, _ in moves:
+            files.delete(staging, True)
 
 
 def export_csv(df: DataFrame, folder: str, order: str | None = None, compression: str = "none") -> None:

@@ -96,10 +96,10 @@ def trips(spark: SparkSession, folder: str) -> DataFrame:
     return with_places(trip_facts(spark, folder), folder)
 
 
-def raw_trips(spark: SparkSession, folder: str) -> DataFrame:
-    """Trips with the calendar columns of the raw monthly files (some wrong on purpose)."""
+def raw_facts(spark: SparkSession, folder: str) -> DataFrame:
+    """Trips without places, with the calendar columns of the raw monthly files (some wrong on purpose)."""
     date = F.col("FL_DATE")
-    return trips(spark, folder).withColumns(
+    return trip_facts(spark, folder).withColumns(
         {
             "YEAR": F.when(F.col("l_orderkey") % 101 == 0, F.year(date) + 1).otherwise(F.year(date)),
             "QUARTER": F.quarter(date),

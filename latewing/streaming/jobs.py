@@ -7,6 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import quality as Q
 from ..operators.scoring import score_text
+from ..plans.batch_scoring import with_reasons
 from ..schema import DATE, PREDICTION, REQUIRED_COLUMNS
 from ..sources.sinks import publish
 
@@ -32,9 +33,8 @@ def start_scoring(records: DataFrame, model, folder: str, checkpoint: str, **tri
         batch.persist()
         try:
             run = f"{number:012d}"
-            publish(score_text(Q.good_rows(batch), model), f"{folder}/scored", run, "batch_id")
-            bad = Q.bad_rows(batch).withColumn(Q.BROKEN, F.array_join(Q.BROKEN, ","))
-            publish(bad, f"{folder}/quarantine", run, "batch_id")
+            scored, bad = score_text(Q.good_rows(batch), model), with_reasons(Q.bad_rows(batch))
+            publish({f"{folder}/scored": scored, f"{folder}/quarantine": bad}, run, "batch_id")
         finally:
             batch.unpersist()
 

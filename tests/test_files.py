@@ -131,7 +131,7 @@ def test_quarantine_scores_the_good_rows(spark, tmp_path):
     rows[7]["FL_DATE"] = "never"
     path = write_csv(tmp_path / "in.csv", rows)
     out = str(tmp_path / "out")
-    score_file(spark, path, DistanceModel, out, "r1", strict=False)
+    assert score_file(spark, path, DistanceModel, out, "r1", strict=False) == 8
     assert read_back(spark, f"{out}/scored").count() == 8
     bad = {r["ARR_DELAY"]: r["broken_rules"] for r in read_back(spark, f"{out}/quarantine").collect()}
     assert bad == {"2": "ORIGIN_blank", "7": "FL_DATE_date"}
@@ -197,12 +197,64 @@ def test_publish_replaces_a_run_even_with_nothing(spark, tmp_path):
 
     rows = spark.createDataFrame([(1,), (2,)], "x int")
     folder = str(tmp_path / "out")
-    publish(rows, folder, "r1")
-    publish(rows, folder, "r2")
-    publish(rows.limit(0), folder, "r1")
+    publish({folder: rows}, "r1")
+    publish({folder: rows}, "r2")
+    publish({folder: rows.limit(0)}, "r1")
     assert [r["run_id"] for r in spark.read.parquet(folder).collect()] == ["r2", "r2"]
     with pytest.raises(ValueError, match="run_id"):
-        publish(rows.selectExpr("x", "'mine' AS RUN_ID"), folder, "r1")
+        publish({folder: rows.selectExpr("x", "'mine' AS RUN_ID")}, "r1")
+
+
+def test_outputs_of_a_run_appear_together(spark, tmp_path):
+    from latewing.sources.sinks import publish
+
+    rows = spark.createDataFrame([(1,), (2,)], "x int")
+    one, two = str(tmp_path / "one"), str(tmp_path / "two")
+    publish({one: rows, two: rows}, "r1")
+    broken = rows.select(F.raise_error(F.lit("stop")).cast("int").alias("x"))
+    with pytest.raises(Exception):
+        publish({one: rows.limit(1), two: broken}, "r1")
+    assert [spark.read.parquet(folder).count() for folder in (one, two)] == [2, 2]
+
+
+def test_months_with_other_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("YEAR,ARR_DELAY,ORIGIN\n2025,1.5,A\n2025,,B\n")
+    (tmp_path / "b.csv").write_text('NOTE,ORIGIN,YEAR,ARR_DELAY\n"x,\n""y""",C,2026,-2\n')
+    rows = {r["ORIGIN"]: r for r in files.read_records(spark, str(tmp_path)).collect()}
+    assert {k: (r["YEAR"], r["ARR_DELAY"], r["NOTE"]) for k, r in rows.items()} == {
+        "A": (2025, 1.5, None), "B": (2025, None, None), "C": (2026, -2.0, 'x,\n"y"'),
+    }
+
+
+def test_cells_of_another_type_are_not_lost(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("YEAR,ARR_DELAY\n2025,abc\n2026.0,1\n2027,2\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        files.read_records(spark, str(tmp_path)).collect()
+    rows = files.read_records(spark, str(tmp_path), corrupt="unread").collect()
+    assert sorted((r["YEAR"] or 0, r["unread"] or "") for r in rows) == [(0, "2026.0,1"), (2025, "2025,abc"), (2027, "")]
+
+
+def test_line_breaks_in_cells(spark, tmp_path):
+    rows = text_rows(4)
+    path = tmp_path / "in.csv"
+    names = [*TEXT_COLUMNS, "NOTE"]
+    lines = [",".join(names)] + [",".join([*(r[c] for c in TEXT_COLUMNS), '"a\nb, ""c"""']) for r in rows]
+    path.write_text("\n".join(lines) + "\n")
+    assert files.count_rows(spark, str(path)) == 4
+    assert {r["NOTE"] for r in files.read_text(spark, str(path)).collect()} == {'a\nb, "c"'}
+    rows[2]["DISTANCE"] = "x"
+    lines[3] = ",".join([*(rows[2][c] for c in TEXT_COLUMNS), '"a\nb"'])
+    path.write_text("\n".join(lines) + "\n")
+    with pytest.raises(InputError, match=r"\(row 4\)"):
+        score_file(spark, str(path), DistanceModel, str(tmp_path / "out"), "r1")
+
+
+def test_a_folder_is_scored(spark, tmp_path):
+    folder = tmp_path / "parts"
+    folder.mkdir()
+    for i in range(2):
+        write_csv(folder / f"{i}.csv", text_rows(5))
+    assert score_file(spark, str(folder), DistanceModel, str(tmp_path / "out"), "r1") == 10
 
 
 def test_white_space_is_no_text(spark):
