@@ -4,9 +4,6 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.ml import Pipeline
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
 from ..operators import analysis as A
@@ -175,13 +172,11 @@ ON s.feature = u.feature AND s.category = u.category""",
 def one_hot(spark, folder):
     df = _early_and_late(spark, folder).select("split", "lane", "ORIGIN")
     columns = ["lane", "ORIGIN"]
-    fitted = Pipeline(stages=E.one_hot_stages(columns)).fit(df.where("split = 'early'"))
-    sums = fitted.transform(df).select(*(Summarizer.sum(F.col(f"{c}__hot")).alias(c) for c in columns))
-    stacked = sums.select(
-        F.inline(F.array(*(F.struct(F.lit(c).alias("feature"), vector_to_array(c).alias("sums")) for c in columns)))
-    )
-    return stacked.select("feature", F.posexplode("sums").alias("slot", "rows_hot")).withColumn(
-        "rows_hot", F.col("rows_hot").cast("bigint")
+    slots = E.one_hot_slots(df.where("split = 'early'"), columns)
+    hot = [F.struct(F.lit(c).alias("feature"), F.col(f"{c}__index").cast("int").alias("slot")) for c in columns]
+    used = slots.transform(df).select(F.inline(F.array(*hot))).groupBy("feature", "slot").agg(F.count("*").alias("n"))
+    return slots.slots.join(used, ["feature", "slot"], "left").select(
+        "feature", "slot", F.coalesce("n", F.lit(0).cast("bigint")).alias("rows_hot")
     )
 
 

@@ -110,7 +110,7 @@ def job_counters(events: DataFrame, started: str, succeeded: str, failed: str) -
 
 
 def latest_state(events: DataFrame, key: str = "user_id") -> DataFrame:
-    """Newest event per key; ties of time go to the larger id. Partial aggregates, no sort."""
+    """Newest event per key; ties of time go to the larger id. Keys are reduced before the shuffle."""
     order = F.struct("ts", "event_id")
     return events.groupBy(key).agg(
         F.max_by("event_type", order).alias("state"),

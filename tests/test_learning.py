@@ -167,12 +167,22 @@ def test_encoder_errors(categories):
 
 def test_one_hot_ignores_unseen(spark):
     train_part = spark.createDataFrame([("b",), ("a",), ("c",)], "cat string")
-    model = Pipeline(stages=E.one_hot_stages(["cat"])).fit(train_part)
-    other = spark.createDataFrame([("a",), ("c",), ("zz",)], "cat string")
-    got = [r["cat__hot"].toArray().tolist() for r in model.transform(other).collect()]
-    assert got == [[1, 0, 0], [0, 0, 1], [0, 0, 0]]
-    with pytest.raises(InputError, match="use target encoding"):
-        E.check_one_hot_size(train_part, ["cat"], 2)
+    slots = E.one_hot_slots(train_part, ["cat"])
+    model = Pipeline(stages=slots.hot_stages()).fit(slots.transform(train_part))
+    other = spark.createDataFrame([("a",), ("c",), ("zz",), (None,)], "cat string")
+    got = {r["cat"]: r["cat__hot"].toArray().tolist() for r in model.transform(slots.transform(other)).collect()}
+    assert got == {"a": [1, 0, 0], "c": [0, 0, 1], "zz": [0, 0, 0], None: [0, 0, 0]}
+    names = slots.names(5).orderBy("slot").collect()
+    assert [tuple(r) for r in names] == [(5, "cat_a"), (6, "cat_b"), (7, "cat_c")]
+
+
+def test_one_hot_of_many_categories(spark):
+    many = spark.range(150_000).select(F.format_string("%06d", "id").alias("cat"), (F.col("id") % 3).cast("string").alias("few"))
+    slots = E.one_hot_slots(many, ["cat", "few"])
+    assert slots.sizes == {"cat": 150_000, "few": 3}
+    assert slots.slots.where("feature = 'cat' AND slot <> CAST(category AS int)").isEmpty()
+    with pytest.raises(InputError, match="No category"):
+        E.one_hot_slots(many.withColumn("few", F.lit(None).cast("string")), ["cat", "few"])
 
 
 def test_metrics(spark):
@@ -219,7 +229,7 @@ def test_training_end_to_end(spark, small, tmp_path, encoder):
     features = with_features(trips(spark, small))
     model = result.models["boosted_trees"]
     model.save(str(tmp_path / "model"))
-    again = DelayModel.load(spark, str(tmp_path / "model"), encoded=encoder == "target")
+    again = DelayModel.load(spark, str(tmp_path / "model"), type(model.encoding))
     a = model.transform(features).orderBy(*RECORD_KEY, "FL_DATE").select(PREDICTION).toPandas()
     b = again.transform(features).orderBy(*RECORD_KEY, "FL_DATE").select(PREDICTION).toPandas()
     assert a.equals(b) and a[PREDICTION].notna().all()
