@@ -233,3 +233,11 @@ def test_training_end_to_end(spark, small, tmp_path, encoder):
     a = model.transform(features).orderBy(*RECORD_KEY, "FL_DATE").select(PREDICTION).toPandas()
     b = again.transform(features).orderBy(*RECORD_KEY, "FL_DATE").select(PREDICTION).toPandas()
     assert a.equals(b) and a[PREDICTION].notna().all()
+
+
+def test_training_refuses_what_features_refuse(spark, small):
+    from latewing.plans.training import prepare
+
+    off_clock = trips(spark, small).withColumn("CRS_DEP_TIME", F.lit(1275))
+    with pytest.raises(InputError, match="CRS_DEP_TIME has .* invalid HHMM"):
+        prepare(off_clock, TrainingSettings(RECORD_KEY))
