@@ -1,10 +1,10 @@
-"""The corpus pipeline: five stages, each written as Parquet and read again by the next."""
+"""The corpus pipeline: six stages, each written as Parquet and read again by the next."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from latewing.llm import line_dedup, packing, quality_model, quality_rules, simhash
+from latewing.llm import line_dedup, near_copies, packing, quality_model, quality_rules, simhash
 from latewing.llm.common import table
 from latewing.session import staged
 
@@ -24,8 +24,13 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return line_dedup.drop_boilerplate(docs)
 
 
+def shingle_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group whose five-word shingles are similar to 0.8 or more."""
+    return near_copies.one_of_each(docs)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group within op3's four bits."""
     return simhash.one_of_each(docs)
 
 
@@ -38,6 +43,7 @@ STAGES = [
     ("quality rules", rules),
     ("quality classifier", classifier),
     ("line dedup", lines),
+    ("shingle near-dedup", shingle_dedup),
     ("simhash near-dedup", near_dedup),
     ("best-fit packing", pack),
 ]

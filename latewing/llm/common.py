@@ -20,6 +20,7 @@ _DDL = {
     pa.binary(): "binary",
     pa.bool_(): "boolean",
     pa.list_(pa.int32()): "array<int>",
+    pa.list_(pa.int64()): "array<bigint>",
     pa.list_(pa.float64()): "array<double>",
 }
 
