@@ -282,10 +282,14 @@ def score_batch(spark, folder):
 
 @query("train_predict")
 def train_predict(spark, folder):
-    return train(trips(spark, folder), SETTINGS).metrics
+    boosted = F.col("model") == "boosted_trees"
+    return train(trips(spark, folder), SETTINGS).metrics.select(
+        "*", F.when(boosted, F.lit(SETTINGS.rounds)).alias("rounds"), F.when(boosted, F.lit(SETTINGS.depth)).alias("depth")
+    )
 
 
 @query("feature_importance")
 def feature_importance(spark, folder):
     only_trees = replace(SETTINGS, models=("boosted_trees",))
-    return train(trips(spark, folder), only_trees).importance["boosted_trees"]
+    found = train(trips(spark, folder), only_trees).importance["boosted_trees"]
+    return found.withColumns({"rounds": F.lit(SETTINGS.rounds), "depth": F.lit(SETTINGS.depth)})

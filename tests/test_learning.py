@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from helpers import DistanceModel, text_frame, text_rows
 
+from latewing.catalog import learning
 from latewing.operators import encoding as E
 from latewing.operators import metrics as M
 from latewing.operators import split as S
@@ -241,3 +242,11 @@ def test_training_refuses_what_features_refuse(spark, small):
     off_clock = trips(spark, small).withColumn("CRS_DEP_TIME", F.lit(1275))
     with pytest.raises(InputError, match="CRS_DEP_TIME has .* invalid HHMM"):
         prepare(off_clock, TrainingSettings(RECORD_KEY))
+
+
+def test_training_states_its_rounds(spark, small):
+    assert (TrainingSettings(RECORD_KEY).rounds, TrainingSettings(RECORD_KEY).depth) == (1000, 6)
+    rows = {r["model"]: r for r in learning.train_predict(spark, small).collect()}
+    assert (rows["boosted_trees"]["rounds"], rows["boosted_trees"]["depth"]) == (learning.SETTINGS.rounds, learning.SETTINGS.depth)
+    assert rows["linear"]["rounds"] is None and rows["linear"]["depth"] is None
+    assert {r["rounds"] for r in learning.feature_importance(spark, small).collect()} == {learning.SETTINGS.rounds}
