@@ -31,7 +31,7 @@ def _rows(columns, rows):
     return sorted(tuple(_cell(r[i]) for i in order) for r in rows)
 
 
-_KINDS = {"BIGINT": "bigint", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean"}
+_KINDS = {"INTEGER": "int", "BIGINT": "bigint", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean"}
 
 
 def differences(df, con, sql: str) -> list[str]:

@@ -2,6 +2,7 @@ import oracle
 import pytest
 
 import __spark_entry__ as entry
+from latewing.catalog import CATALOG
 
 
 @pytest.fixture(scope="module")
@@ -9,10 +10,14 @@ def connection(small):
     return oracle.connect(small)
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(n for n, e in CATALOG.items() if e.sql))
 def test_matches_sql(spark, small, connection, name):
-    result = entry.queries()[name](spark, small)
-    assert oracle.differences(result, connection, entry.oracle_sql()[name]) == []
+    assert oracle.differences(CATALOG[name].run(spark, small), connection, CATALOG[name].sql) == []
+
+
+def test_entry_registers_the_catalog():
+    assert CATALOG.keys() <= entry.queries().keys()
+    assert {n: e.sql for n, e in CATALOG.items() if e.sql}.items() <= entry.oracle_sql().items()
 
 
 def test_some_categories_are_unseen(spark, small):
