@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import language, line_dedup, packing, pieces, quality_model, quality_rules, simhash, top_k, toxicity, url_filter
+from . import (
+    language, licenses, line_dedup, packing, pieces, quality_model, quality_rules, simhash, top_k, toxicity, url_filter,
+    whitening,
+)
 from .common import table
 
 #: (verdict, host, path), the production rules.
@@ -64,14 +67,61 @@ def op10_pieces(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    found = licenses.scan(table(spark, folder, "documents").select("doc_id", "text"))
+    starts = F.transform(F.filter("places", lambda p: p["base"]), lambda p: p["start"].cast("bigint"))
+    return found.select(
+        "doc_id", "n_words", F.size(starts).cast("bigint").alias("n_base"), F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"), F.array_join("base_labels", ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"), "score",
+    )
+
+
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"), components=32, scale=64.0)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_top_k, op2_language, op3_simhash, op4_quality_rules, op5_packing, op6_toxicity, op7_url_filter,
-        op8_quality_model, op9_line_dedup, op10_pieces,
+        op8_quality_model, op9_line_dedup, op10_pieces, op11_licenses, op13_whitening,
     )
 }
 
+
+
+def _license_sql() -> str:
+    """All entries at all places, without an index."""
+    entries = [*licenses.PHRASES, *licenses.NOTICES]
+    notices = ", ".join(f"({n}, '{e.label}', {e.base}, {len(e.words)})" for n, e in enumerate(entries))
+    words = ", ".join(f"({n}, {at}, '{w}')" for n, e in enumerate(entries) for at, w in enumerate(e.words))
+    keys = ", ".join(f"({n}, {at}, '{w}')" for n, e in enumerate(entries) for at, w in e.key_words())
+    return rf"""WITH e(entry, label, base, size) AS (VALUES {notices}),
+w(entry, spot, word) AS (VALUES {words}),
+k(entry, spot, word) AS (VALUES {keys}),
+n AS (SELECT entry, count(*) AS keys FROM k GROUP BY 1),
+d AS (
+ SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+p AS (SELECT rid, unnest(words) AS word, unnest(range(len(words))) AS place FROM d),
+h AS (
+ SELECT p.rid, k.entry, p.place - k.spot AS start FROM p JOIN k ON p.word = k.word JOIN n ON n.entry = k.entry
+ GROUP BY ALL HAVING count(*) = any_value(n.keys)),
+s AS (
+ SELECT h.rid, h.entry, h.start, count(p.word) / any_value(e.size) AS share FROM h JOIN e ON e.entry = h.entry
+ JOIN w ON w.entry = h.entry LEFT JOIN p ON p.rid = h.rid AND p.place = h.start + w.spot AND p.word = w.word GROUP BY 1, 2, 3),
+g AS (
+ SELECT s.rid, count(*) FILTER (e.base) AS n_base, min(s.start) FILTER (e.base) AS first_word,
+  max(s.start) FILTER (e.base) AS last_word, string_agg(DISTINCT e.label, ',' ORDER BY e.label) FILTER (e.base) AS base_labels,
+  string_agg(DISTINCT e.label, ',' ORDER BY e.label) FILTER (e.base OR s.share >= {licenses.MIN_SHARE}) AS labels,
+  max(s.share) FILTER (NOT e.base) AS score FROM s JOIN e ON e.entry = s.entry GROUP BY 1)
+SELECT d.doc_id, CAST(len(d.words) AS BIGINT) AS n_words, coalesce(g.n_base, 0) AS n_base, g.first_word, g.last_word,
+ coalesce(g.base_labels, '') AS base_labels, coalesce(g.labels, '') AS labels, coalesce(g.score, 0.0E0) AS score
+FROM d LEFT JOIN g ON g.rid = d.rid"""
+
+
 SQL = {
     "op1_top_k": """WITH v AS (
  SELECT CAST(vec_id AS BIGINT) AS vec_id,
@@ -110,4 +160,5 @@ SELECT d.doc_id,
  CASE WHEN d.text IS NOT NULL THEN coalesce(string_agg(k.line, chr(10) ORDER BY k.place) FILTER (WHERE NOT k.gone), '') END AS text,
  CAST(count(*) FILTER (WHERE k.gone) AS BIGINT) AS removed_lines
 FROM documents d LEFT JOIN k ON d.doc_id = k.doc_id GROUP BY d.doc_id, d.text""",
+    "op11_licenses": _license_sql(),
 }

@@ -1,0 +1,98 @@
+import numpy as np
+import oracle
+import pytest
+
+from latewing.llm import queries as Q
+from latewing.llm import whitening as W
+from latewing.llm.common import table
+
+VECTORS = "vec_id bigint, embedding array<double>, component string, n string"
+
+
+def frame(spark, points, first=0):
+    return spark.createDataFrame([(first + i, [float(v) for v in p], "x", "y") for i, p in enumerate(points)], VECTORS)
+
+
+def plain(points, scale=64.0):
+    """Whole numbers, their covariance's eigenvalues and axes, by an eigenvalue solver."""
+    whole = np.floor(scale * np.asarray(points, float))
+    centred = whole - whole.mean(axis=0)
+    values, axes = np.linalg.eigh(centred.T @ centred / len(whole))
+    return whole.astype(int), centred, values[::-1], axes[:, ::-1]
+
+
+def compare(rows, ids, points, components, scale=64.0):
+    whole, centred, values, axes = plain(points, scale)
+    place = {v: i for i, v in enumerate(ids)}
+    assert sorted((r["vec_id"], r["component"]) for r in rows) == sorted((i, c + 1) for i in ids for c in range(components))
+    found = np.zeros((len(ids), components))
+    exact = [sum(int(v) ** 2 for v in row) for row in len(ids) * whole - whole.sum(axis=0)]
+    for r in rows:
+        found[place[r["vec_id"]], r["component"] - 1] = r["whitened"]
+        assert r["n"] == len(ids) and r["deviation"] == exact[place[r["vec_id"]]] and r["identity_error"] < 1e-9
+        assert r["explained"] == pytest.approx(values[r["component"] - 1] / values.sum(), rel=1e-9)
+    want = centred @ axes[:, :components] / np.sqrt(values[:components])
+    signs = np.sign((found * want).sum(axis=0))
+    assert np.abs(found - want * signs).max() < 1e-6
+
+
+def test_query_equals_eigenvectors(spark, small):
+    rows = Q.op13_whitening(spark, small).collect()
+    con = oracle.connect(small)
+    held = con.sql("SELECT vec_id, embedding FROM embeddings").fetchall()
+    held = [(i, v) for i, v in held if v is not None and all(c is not None and np.isfinite(c) for c in v)]
+    assert len({i for i, _ in held}) == len(held)
+    compare(rows, [i for i, _ in held], [v for _, v in held], 32)
+
+
+def test_ill_conditioned(spark):
+    """Columns that nearly depend on each other, far from zero: the square of the condition exceeds double precision."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(500, 6)) * [1e6, 1e4, 100, 1, 1, 1]
+    points = base @ np.linalg.qr(rng.normal(size=(6, 6)))[0] * 64 + 1e7
+    model = W.fit(W.vectors(frame(spark, points)), 1.0)
+    _, _, values, axes = plain(points, 1.0)
+    singular = np.linalg.svd(np.floor(points) - np.floor(points).mean(axis=0), compute_uv=False)
+    assert np.allclose(model.variances, singular**2 / 500, rtol=1e-6) and model.passes <= W.PASSES
+    assert W.identity_error(W.vectors(frame(spark, points)), model) < 1e-6
+
+
+def test_directions_without_variance(spark):
+    rng = np.random.default_rng(4)
+    points = rng.integers(-9, 9, size=(60, 2)).astype(float)
+    points = np.column_stack([points, points.sum(axis=1), np.full(60, 5.0)])
+    rows = W.whiten(frame(spark, points), 32, 1.0).collect()
+    assert {r["component"] for r in rows} == {1, 2} and len(rows) == 120
+    assert all(r["identity_error"] < 1e-6 for r in rows)
+    assert sum({r["component"]: r["explained"] for r in rows}.values()) == pytest.approx(1)
+
+
+def test_edges(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, [1.0, 0.0]), (1, None), (2, [None, 1.0]), (3, [nan, 1.0]), (4, [-inf, 1.0]), (5, []), (6, [1.0]),
+            (7, [0.5, -0.01]), (7, [0.5, -0.01]), (None, [3.0, 2.0])]
+    found = W.whiten(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()
+    assert sorted((r["vec_id"] is None, r["vec_id"] or 0, r["component"]) for r in found) == sorted(
+        (i is None, i or 0, c) for i in (0, 7, 7, None) for c in (1, 2)
+    )
+    one = frame(spark, [[1.0, 2.0]])
+    assert W.whiten(one).count() == 0 == W.whiten(one.limit(0)).count()
+    assert W.whiten(one.union(one)).count() == 0 and W.whiten(frame(spark, [[]])).count() == 0
+    with pytest.raises(Exception, match="beyond"):
+        W.whiten(frame(spark, [[1e300], [0.0]])).count()
+
+
+def test_large_numbers_stay_exact(spark):
+    points = [[float(1 << 40), 0.0], [0.0, 3.0], [-5.0, 1.0]]
+    model = W.Whitening(1.0, 1 << 30, np.array([7, 9]), np.eye(2), np.ones(2), 1.0, 1)
+    assert model.deviations(np.array([[1 << 40, 1]])).tolist() == [[(1 << 70) - 7, (1 << 30) - 9]]
+    rows, sums = W.column_sums(W.vectors(frame(spark, points)), 2, 1.0)
+    assert rows == 3 and sums.tolist() == [(1 << 40) - 5, 4]
+    with pytest.raises(ValueError, match="64 bits"):
+        W._exact_squares(np.array([[1 << 40, 0]]))
+
+
+def test_partitions_do_not_matter(spark, small):
+    found = W.vectors(table(spark, small, "embeddings"))
+    one, many = W.fit(found.coalesce(1), 64.0), W.fit(found.repartition(7), 64.0)
+    assert np.allclose(one.variances, many.variances, rtol=1e-12) and one.sums.tolist() == many.sums.tolist()
