@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import (
-    language, licenses, line_dedup, packing, pieces, quality_model, quality_rules, simhash, top_k, toxicity, url_filter,
-    whitening,
+    language, licenses, line_dedup, packing, pieces, quality_model, quality_rules, runs, simhash, top_k, toxicity,
+    url_filter, whitening,
 )
 from .common import table
+from .quality_rules import bound, words_of
 
 #: (verdict, host, path), the production rules.
 URL_RULES = [
@@ -77,6 +78,41 @@ def op11_licenses(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _made_periodic(text, doc_id):
+    """The text of every tenth id with a repeated tail, as the contract plants it."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def planted(words):
+        n = F.size(words)
+        a = (g % n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        return F.when(n > 0, F.array_join(
+            F.transform(words, lambda w, i: F.when(i < a, w).otherwise(F.get(words, a + (i - a) % p))), " "))
+
+    return F.when(h % 10 == 0, bound(words_of(text), planted)).otherwise(text)
+
+
+def run_digests(docs: DataFrame) -> DataFrame:
+    """Runs of the documents' words after the contract's change, the greatest one, and digests of all."""
+    changed = docs.select("doc_id", _made_periodic(F.col("text"), F.col("doc_id")).alias("text"))
+    greatest = F.aggregate("runs", F.get("runs", F.lit(0)), lambda best, run: F.when(
+        run["length"] * best["period"] > best["length"] * run["period"], run).otherwise(best))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    ends = F.when(F.size("runs") > 0, F.lit("\n")).otherwise("")
+    found = runs.detect(changed).withColumn("best", greatest)
+    return found.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
+        F.sha2(F.concat(F.array_join(lines, "\n"), ends), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return run_digests(table(spark, folder, "documents"))
+
+
 def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whiten(table(spark, folder, "embeddings"), components=32, scale=64.0)
 
@@ -85,7 +121,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_top_k, op2_language, op3_simhash, op4_quality_rules, op5_packing, op6_toxicity, op7_url_filter,
-        op8_quality_model, op9_line_dedup, op10_pieces, op11_licenses, op13_whitening,
+        op8_quality_model, op9_line_dedup, op10_pieces, op11_licenses, op12_runs, op13_whitening,
     )
 }
 
