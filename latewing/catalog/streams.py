@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..schema import DATE, PREDICTION, REQUIRED_COLUMNS
 from ..session import new_folder
+from ..sources.published import published
 from ..sources.trips import text_trips, trip_facts, trips
 from ..streaming import jobs
 from .learning import _GOOD, DistanceModel
@@ -30,8 +31,8 @@ def stream_scored(spark, folder):
     text_trips(trips(spark, folder)).select(*REQUIRED_COLUMNS).write.json(arriving)
     records = jobs.record_stream(spark, arriving)
     _finished(jobs.start_scoring(records, DistanceModel, out, state, availableNow=True))
-    scored = spark.read.parquet(f"{out}/scored").select("ORIGIN", "DEST", PREDICTION, F.lit(True).alias("good"))
-    bad = spark.read.parquet(f"{out}/quarantine").select(
+    scored = published(spark, out, "scored").select("ORIGIN", "DEST", PREDICTION, F.lit(True).alias("good"))
+    bad = published(spark, out, "quarantine").select(
         "ORIGIN", "DEST", F.lit(None).cast("double").alias(PREDICTION), F.lit(False).alias("good")
     )
     return scored.unionByName(bad).groupBy("ORIGIN", "DEST").agg(

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numbers import finite_number, hhmm_number, round_half_even
 from ..schema import DATE, HHMM_COLUMNS, MEASURE_COLUMNS, MODEL_FEATURES, PREDICTION, TEXT_COLUMNS
-from .features import with_features
+from .features import model_frame, with_features
 from .modeling import DelayModel
 from .quality import PARSED_COLUMNS, parsed, parsed_name
 
@@ -41,6 +41,8 @@ def python_prediction(load: Callable[[], object], features: Sequence[str] = MODE
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
         model = load()
         for frame in batches:
+            if len(absent := frame.columns[frame.isna().any()]):
+                raise ValueError(f"Missing values in: {', '.join(absent)}")
             values = np.asarray(model.predict(frame), dtype=float)
             if len(values) != len(frame):
                 raise ValueError("Prediction failed: wrong number of results.")
@@ -51,17 +53,22 @@ def python_prediction(load: Callable[[], object], features: Sequence[str] = MODE
     return round_half_even(run(F.struct(*features)))
 
 
-def score_features(features: DataFrame, model, output: str = PREDICTION) -> DataFrame:
-    """Adds the rounded prediction. ``model``: a ``DelayModel`` or a function that loads a Python model."""
+def score_features(
+    table: DataFrame, model, output: str = PREDICTION, features: Sequence[str] = MODEL_FEATURES
+) -> DataFrame:
+    """Adds the rounded prediction. ``model``: a ``DelayModel`` or a function that loads a Python model.
+
+    A Python model gets the columns ``features``, in that order; it fails on missing columns or values.
+    """
     if isinstance(model, DelayModel):
-        return model.transform(features, output)
-    return features.withColumn(output, python_prediction(model))
+        return model.transform(table, output)
+    return table.withColumn(output, python_prediction(model, model_frame(table, features).columns))
 
 
-def score_text(df: DataFrame, model, output: str = PREDICTION) -> DataFrame:
+def score_text(df: DataFrame, model, output: str = PREDICTION, features: Sequence[str] = MODEL_FEATURES) -> DataFrame:
     """Text rows, unchanged and in their column order, plus the prediction.
 
     Expects rows that pass ``quality.scoring_rules``.
     """
-    scored = score_features(with_features(typed_beside_text(df)), model, output)
+    scored = score_features(with_features(typed_beside_text(df)), model, output, features)
     return scored.select(f"{ORIGINAL}.*", output)

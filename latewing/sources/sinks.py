@@ -1,9 +1,8 @@
-"""Publishing results: whole or not at all, repeatable, never through one task."""
+"""Exporting results as text."""
 
 from __future__ import annotations
 
-import re
-import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
@@ -19,43 +18,11 @@ _CSV = {
 }
 
 
-def publish(outputs: dict[str, DataFrame], run: str, key: str = "run_id") -> None:
-    """Store the rows of one run, folder by folder, as its own partition of each.
-
-    An earlier try is replaced, also when there are no rows now. All outputs are written
-    beside their partitions and moved there in the end, so a failing job leaves every
-    folder as it was. An input column named like the partition is refused:
-    reading it back would give the run's name instead.
-    """
-    if not re.fullmatch(r"[\w.-]+", run):
-        raise ValueError(f"A run's name is letters, digits, '_', '.' and '-', not {run!r}.")
-    for df in outputs.values():
-        if key.lower() in (c.lower() for c in df.columns):
-            raise ValueError(f"The input has a column {key!r}; rename it before publishing.")
-    moves = []
-    try:
-        for folder, df in outputs.items():
-            spark = df.sparkSession
-            paths = spark._jvm.org.apache.hadoop.fs.Path
-            staging, target = paths(f"{folder}/_{uuid.uuid4().hex}"), paths(f"{folder}/{key}={run}")
-            moves.append((staging.getFileSystem(spark._jsc.hadoopConfiguration()), staging, target))
-            df.write.parquet(staging.toString())
-        for files, staging, target in moves:
-            files.delete(target, True)
-            if not files.rename(staging, target):
-                raise OSError(f"could not move {staging.toString()} to {target.toString()}")
-    finally:
-        for files, staging, _ in moves:
-            files.delete(staging, True)
-
-
-def export_csv(df: DataFrame, folder: str, order: str | None = None, compression: str = "none") -> None:
-    """CSV part files; with ``order`` the parts follow each other in that order (range-sorted)."""
+def export_csv(
+    df: DataFrame, folder: str, order: str | Sequence[str] | None = None, compression: str = "none"
+) -> None:
+    """CSV part files; with ``order`` the parts follow each other by these columns (range-sorted), which are left out."""
     if order is not None:
-        df = df.orderBy(order).drop(order)
+        names = [order] if isinstance(order, str) else list(order)
+        df = df.orderBy(*names).drop(*names)
     df.write.mode("error").options(compression=compression, **_CSV).csv(folder)
-
-
-def append_table(df: DataFrame, folder: str) -> None:
-    """Add small result rows (metrics, importance) to a stored table."""
-    df.write.mode("append").parquet(folder)

@@ -9,7 +9,7 @@ from ..operators import quality as Q
 from ..operators.scoring import score_text
 from ..plans.batch_scoring import with_reasons
 from ..schema import DATE, PREDICTION, REQUIRED_COLUMNS
-from ..sources.sinks import publish
+from ..sources.published import publish
 
 
 def record_stream(
@@ -23,7 +23,7 @@ def record_stream(
 def start_scoring(records: DataFrame, model, folder: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Score a stream through the batch path; bad rows go to a quarantine table.
 
-    Every micro-batch replaces its own partition of both tables, so a replayed
+    Every micro-batch is a published run of both tables (``sources.published``), so a replayed
     batch leaves no duplicates. Give a trigger such as ``availableNow=True``.
     """
     marked = Q.flagged(records, Q.scoring_rules())
@@ -34,7 +34,7 @@ def start_scoring(records: DataFrame, model, folder: str, checkpoint: str, **tri
         try:
             run = f"{number:012d}"
             scored, bad = score_text(Q.good_rows(batch), model), with_reasons(Q.bad_rows(batch))
-            publish({f"{folder}/scored": scored, f"{folder}/quarantine": bad}, run, "batch_id")
+            publish(folder, {"scored": scored, "quarantine": bad}, run, "batch_id")
         finally:
             batch.unpersist()
 

@@ -69,3 +69,9 @@ class DistanceModel:
 class BrokenModel:
     def predict(self, frame):
         raise RuntimeError("no prediction")
+
+
+class TwoColumns:
+    def predict(self, frame):
+        assert list(frame.columns) == ["DISTANCE", "CRS_ELAPSED_TIME"]
+        return frame["DISTANCE"] / 100 + frame["CRS_ELAPSED_TIME"]

@@ -3,6 +3,7 @@ from helpers import SCORED, SCORED_SCHEMA, TEXT_COLUMNS, BrokenModel, DistanceMo
 
 from latewing.operators.row_index import block_offsets, with_row_index, with_scan_position
 from latewing.plans.batch_scoring import score_file
+from latewing.sources.published import published
 from latewing.schema import PREDICTION, InputError
 from latewing.sources import files, sinks
 from pyspark.sql import functions as F
@@ -101,7 +102,7 @@ def test_score_file_passes_text_through(spark, tmp_path):
     out = str(tmp_path / "out")
     assert score_file(spark, path, DistanceModel, out, "r1") == 12
     assert score_file(spark, path, DistanceModel, out, "r1") == 12
-    got = read_back(spark, f"{out}/scored").orderBy(F.col("ARR_DELAY").cast("int")).collect()
+    got = published(spark, out, "scored").orderBy(F.col("ARR_DELAY").cast("int")).collect()
     assert len(got) == 12
     assert [r["CRS_DEP_TIME"] for r in got] == [r["CRS_DEP_TIME"] for r in rows]
     assert [r[PREDICTION] for r in got] == [round(float(r["DISTANCE"]) / 100, 2) for r in rows]
@@ -114,7 +115,7 @@ def test_strict_scoring_names_file_rows_and_writes_nothing(spark, tmp_path):
     out = tmp_path / "out"
     with pytest.raises(InputError, match=r"Column DISTANCE has 1 invalid numeric value\(s\) \(row 10\)"):
         score_file(spark, path, DistanceModel, str(out), "r1")
-    assert not out.exists()
+    assert not list(out.rglob("*.parquet")) and not list(out.rglob("*.json"))
 
 
 def test_failing_model_publishes_nothing(spark, tmp_path):
@@ -132,8 +133,8 @@ def test_quarantine_scores_the_good_rows(spark, tmp_path):
     path = write_csv(tmp_path / "in.csv", rows)
     out = str(tmp_path / "out")
     assert score_file(spark, path, DistanceModel, out, "r1", strict=False) == 8
-    assert read_back(spark, f"{out}/scored").count() == 8
-    bad = {r["ARR_DELAY"]: r["broken_rules"] for r in read_back(spark, f"{out}/quarantine").collect()}
+    assert published(spark, out, "scored").count() == 8
+    bad = {r["ARR_DELAY"]: r["broken_rules"] for r in published(spark, out, "quarantine").collect()}
     assert bad == {"2": "ORIGIN_blank", "7": "FL_DATE_date"}
 
 
@@ -192,31 +193,6 @@ def test_typed_predictions(spark):
     assert frame.count() == 8 and dict(frame.dtypes)["FL_DATE"] == "date"
 
 
-def test_publish_replaces_a_run_even_with_nothing(spark, tmp_path):
-    from latewing.sources.sinks import publish
-
-    rows = spark.createDataFrame([(1,), (2,)], "x int")
-    folder = str(tmp_path / "out")
-    publish({folder: rows}, "r1")
-    publish({folder: rows}, "r2")
-    publish({folder: rows.limit(0)}, "r1")
-    assert [r["run_id"] for r in spark.read.parquet(folder).collect()] == ["r2", "r2"]
-    with pytest.raises(ValueError, match="run_id"):
-        publish({folder: rows.selectExpr("x", "'mine' AS RUN_ID")}, "r1")
-
-
-def test_outputs_of_a_run_appear_together(spark, tmp_path):
-    from latewing.sources.sinks import publish
-
-    rows = spark.createDataFrame([(1,), (2,)], "x int")
-    one, two = str(tmp_path / "one"), str(tmp_path / "two")
-    publish({one: rows, two: rows}, "r1")
-    broken = rows.select(F.raise_error(F.lit("stop")).cast("int").alias("x"))
-    with pytest.raises(Exception):
-        publish({one: rows.limit(1), two: broken}, "r1")
-    assert [spark.read.parquet(folder).count() for folder in (one, two)] == [2, 2]
-
-
 def test_months_with_other_headers(spark, tmp_path):
     (tmp_path / "a.csv").write_text("YEAR,ARR_DELAY,ORIGIN\n2025,1.5,A\n2025,,B\n")
     (tmp_path / "b.csv").write_text('NOTE,ORIGIN,YEAR,ARR_DELAY\n"x,\n""y""",C,2026,-2\n')

@@ -6,6 +6,7 @@ from helpers import DistanceModel, text_frame, text_rows
 from latewing.operators import rollups as R
 from latewing.operators.scoring import score_text
 from latewing.schema import PREDICTION, REQUIRED_COLUMNS
+from latewing.sources.published import published
 from latewing.streaming import jobs
 from pyspark.sql import functions as F
 
@@ -32,12 +33,12 @@ def test_stream_scores_like_batch_and_replays_cleanly(spark, tmp_path):
     run()
     run()
     key = ["FL_DATE", "CRS_DEP_TIME", "DISTANCE", PREDICTION]
-    scored = spark.read.parquet(f"{out}/scored")
+    scored = published(spark, out, "scored")
     assert scored.select("batch_id").distinct().count() == 3
     good = [r for i, r in enumerate(rows) if i not in (4, 9)]
     batch = score_text(text_frame(spark, good), DistanceModel)
     assert sorted(tuple(r) for r in scored.select(*key).collect()) == sorted(tuple(r) for r in batch.select(*key).collect())
-    bad = spark.read.parquet(f"{out}/quarantine")
+    bad = published(spark, out, "quarantine")
     assert sorted(r["broken_rules"] for r in bad.collect()) == ["DISTANCE_numeric", "FL_DATE_date"]
 
 
