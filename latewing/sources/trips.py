@@ -8,6 +8,8 @@ table does.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 FACT_COLUMNS = (
@@ -108,8 +110,8 @@ def raw_facts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def text_trips(df: DataFrame) -> DataFrame:
-    """Trips as an all-text file would hold them, a known share of them damaged."""
+def text_trips(df: DataFrame, also: Sequence[str] = ()) -> DataFrame:
+    """Trips as an all-text file would hold them, a known share of them damaged; columns ``also`` stay as they are."""
     order = F.col("l_orderkey")
     day = F.when(order % 7 == 0, F.date_format("FL_DATE", "M/d/yyyy hh:mm:ss a")).otherwise(
         F.date_format("FL_DATE", "yyyy-MM-dd")
@@ -146,4 +148,5 @@ def text_trips(df: DataFrame) -> DataFrame:
         *(c.alias(n) for n, c in columns.items()),
         *keys,
         F.col("DISTANCE").alias("file_order"),
+        *also,
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
@@ -10,6 +12,7 @@ from ..operators.scoring import score_text
 from ..plans.batch_scoring import with_reasons
 from ..schema import DATE, PREDICTION, REQUIRED_COLUMNS
 from ..sources.published import publish
+from .progress import COUNTS
 
 
 def record_stream(
@@ -24,9 +27,13 @@ def start_scoring(records: DataFrame, model, folder: str, checkpoint: str, **tri
     """Score a stream through the batch path; bad rows go to a quarantine table.
 
     Every micro-batch is a published run of both tables (``sources.published``), so a replayed
-    batch leaves no duplicates. Give a trigger such as ``availableNow=True``.
+    batch leaves no duplicates. Both counts are observed; ``progress.ProgressLog`` keeps
+    them with the rows that came too late. Give a trigger such as ``availableNow=True``.
     """
-    marked = Q.flagged(records, Q.scoring_rules())
+    broken = F.size(Q.BROKEN) > 0
+    marked = Q.flagged(records, Q.scoring_rules()).observe(
+        COUNTS, F.count_if(~broken).alias("scored"), F.count_if(broken).alias("quarantined")
+    )
 
     def handle(batch: DataFrame, number: int) -> None:
         # Two sinks read the micro-batch; its size is bounded by the source options.
@@ -64,6 +71,8 @@ def watermarked(events: DataFrame, lateness: str = "10 minutes") -> DataFrame:
     return events.withWatermark("ts", lateness)
 
 
-def without_repeats(events: DataFrame, lateness: str = "10 minutes") -> DataFrame:
-    """Each event once, although its source may deliver it again within the lateness."""
-    return events.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["event_id"])
+def without_repeats(
+    events: DataFrame, lateness: str = "10 minutes", time: str = "ts", key: Sequence[str] = ("event_id",)
+) -> DataFrame:
+    """Each event once, although its source may deliver it again within the lateness; later ones are dropped."""
+    return events.withWatermark(time, lateness).dropDuplicatesWithinWatermark(list(key))
