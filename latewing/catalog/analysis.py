@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 
 from ..functions import severity
 from ..operators import analysis as A
+from ..operators import cube
 from ..operators import profile as P
 from ..operators.distribution import equal_share_bucket, group_statistics
 from ..operators.features import with_features
-from ..schema import PREDICTION, SEVERITY_CLASSES
+from ..plans.analysis import run_analysis as whole_analysis
+from ..schema import ANALYSIS_COLUMNS, PREDICTION, SEVERITY_CLASSES
+from ..session import new_folder, staged
 from ..sources.trips import FACT_COLUMNS, trip_facts, trips
 from .registry import FACTS, TRIPS, query
 
@@ -54,6 +57,14 @@ def filtered_kpis(spark, folder):
     return A.kpis(A.apply_filters(trips(spark, folder), _FILTERS))
 
 
+@query("filtered_kpis_cube", f"WITH {TRIPS} {_KPI_SQL} FROM trips WHERE {_filter_sql()}")
+def filtered_kpis_cube(spark, folder):
+    """The same figures from the stored cube."""
+    stored = new_folder(spark, "cube")
+    cube.store_cube(trips(spark, folder), stored)
+    return cube.cube_kpis(cube.read_cube(spark, stored, _FILTERS))
+
+
 _LABEL_SQL = """CASE WHEN predicted_arr_delay <= 0 THEN 'On Time' WHEN predicted_arr_delay <= 15 THEN 'Minor Delay'
  WHEN predicted_arr_delay <= 30 THEN 'Moderate Delay' ELSE 'Severe Delay' END"""
 
@@ -162,6 +173,68 @@ def analysis_grouping_sets(spark, folder):
     return A.all_groups(trips(spark, folder))
 
 
+_GROUP_SQL = " UNION ALL ".join(
+    f"SELECT '{section}', {key}, avg(predicted_arr_delay), count(predicted_arr_delay) FROM f GROUP BY 2"
+    for section, key in (
+        ("carriers", "OP_UNIQUE_CARRIER"), ("origins", "ORIGIN"), ("destinations", "DEST"),
+        ("routes", "concat(ORIGIN, ' → ', DEST)"), ("daily", "strftime(FL_DATE, '%Y-%m-%d')"),
+    )
+)
+
+
+@query(
+    "run_analysis",
+    f"""WITH {TRIPS}, f AS (SELECT * FROM trips WHERE {_filter_sql()}), k AS ({_KPI_SQL} FROM f),
+reach AS (SELECT min(predicted_arr_delay) AS lo, max(predicted_arr_delay) AS hi,
+ (max(predicted_arr_delay) - min(predicted_arr_delay)) / 50 AS w FROM f),
+bins AS (SELECT i AS bin, lo + i * w AS bin_start, CASE WHEN i = 49 THEN hi ELSE lo + (i + 1) * w END AS bin_end
+ FROM reach, unnest(range(50)) AS t(i)),
+counted AS (SELECT b.bin, count(*) AS n FROM f JOIN bins b ON predicted_arr_delay >= b.bin_start
+ AND (predicted_arr_delay < b.bin_end OR b.bin = 49) GROUP BY 1),
+classes(position, category) AS (VALUES {_CLASS_ROWS}), labelled AS (SELECT {_LABEL_SQL} AS category FROM f),
+rows(section, label, amount, flights) AS (
+ SELECT 'kpis', 'average', average, total_flights FROM k UNION ALL SELECT 'kpis', 'median', median, total_flights FROM k
+ UNION ALL SELECT 'kpis', 'maximum', maximum, total_flights FROM k UNION ALL SELECT 'kpis', 'minimum', minimum, total_flights FROM k
+ UNION ALL SELECT 'kpis', 'percent_over_threshold', percent_over_threshold, total_flights FROM k
+ UNION ALL SELECT 'histogram', CAST(b.bin AS VARCHAR), b.bin_start, coalesce(n, 0) FROM bins b LEFT JOIN counted c ON b.bin = c.bin
+ UNION ALL SELECT 'categories', c.category, count(l.category) * 100.0 / (SELECT count(*) FROM f), count(l.category)
+  FROM classes c LEFT JOIN labelled l ON c.category = l.category GROUP BY 2
+ UNION ALL {_GROUP_SQL})
+SELECT section, label, round(CAST(amount AS DOUBLE), 6) AS amount, CAST(flights AS BIGINT) AS flights FROM rows""",
+)
+def run_analysis(spark, folder):
+    """Every table of the whole analysis of one filter selection, as rows of one table."""
+    whole = whole_analysis(trips(spark, folder).select(*ANALYSIS_COLUMNS), _FILTERS)
+    if whole.unavailable:
+        raise ValueError(f"sections are missing: {whole.unavailable}")
+
+    def rows(section, df, label, amount, flights):
+        columns = {"section": F.lit(section), "label": label, "amount": amount, "flights": flights}
+        return df.select(*(F.lit(c).alias(n) if isinstance(c, str) else c.alias(n) for n, c in columns.items()))
+
+    names = ("average", "median", "maximum", "minimum", "percent_over_threshold")
+    figures = whole.kpis.select("total_flights", F.inline(F.array(*(
+        F.struct(F.lit(n).alias("label"), F.col(n).cast("double").alias("amount")) for n in names
+    ))))
+    label = {"routes": F.col("route"), "daily": F.date_format("date", "yyyy-MM-dd")}
+    own = {"carriers": F.col("carrier"), "origins": F.col("origin"), "destinations": F.col("destination")}
+    parts = [
+        rows("kpis", figures, F.col("label"), F.col("amount"), F.col("total_flights")),
+        rows("histogram", whole.histogram, F.col("bin").cast("string"), F.col("bin_start"), F.col("flights")),
+        rows("categories", whole.categories, F.col("category"), F.col("percentage"), F.col("flights")),
+        *(
+            rows(section, df, (label | own)[section], F.col("avg_predicted_delay"), F.col("flights"))
+            for section, df in whole.groups.items()
+        ),
+    ]
+    result = parts[0]
+    for part in parts[1:]:
+        result = result.unionByName(part)
+    result = staged(result, "analysis")
+    whole.close()
+    return result
+
+
 @query(
     "group_sums",
     f"""WITH {TRIPS} SELECT OP_UNIQUE_CARRIER, ORIGIN, DEST, strftime(FL_DATE, '%Y-%m-%d') AS FL_DATE,
@@ -280,6 +353,26 @@ def profile(spark, folder):
     return P.column_profile(trips(spark, folder), _PROFILED).select("column", "nulls", "distinct_values")
 
 
+@query(
+    "profile_by_month",
+    f"WITH {TRIPS} "
+    + " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", count(*) AS rows, count(*) - count({c}) AS nulls, TRUE AS within_error FROM trips"
+        for c in _PROFILED
+    ),
+)
+def profile_by_month(spark, folder):
+    """Distinct counts merged from the quarters' own profiles, held against exact ones."""
+    kept, facts = new_folder(spark, "profile"), trips(spark, folder)
+    for quarter in range(1, 5):
+        P.store_profile(facts.where(F.quarter("FL_DATE") == quarter).select(*_PROFILED), kept, f"q{quarter}")
+    exact = P.column_profile(facts, _PROFILED).select("column", F.col("distinct_values").alias("exact"))
+    off = F.abs(F.col("distinct_values") - F.col("exact"))
+    return P.merged_profile(spark, kept).join(exact, "column").select(
+        "column", "rows", "nulls", (off <= F.ceil(4 * P.HLL_ERROR * F.col("exact"))).alias("within_error")
+    )
+
+
 @query(
     "table_shape",
     f"""WITH {FACTS}, g AS (SELECT OP_UNIQUE_CARRIER, CRS_DEP_TIME, DISTANCE, count(*) AS n FROM facts GROUP BY ALL)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..operators import panes as P
 from ..operators import rollups as R
 from ..schema import DURATION_BOUNDS
 from ..sources.trips import table
@@ -68,6 +69,18 @@ def sliding_p95(spark, folder):
     return R.percentile_by_window(_events(spark, folder), 0.95, "1 hour", "15 minutes")
 
 
+@query(
+    "sliding_p95_panes",
+    """SELECT strftime(time_bucket(INTERVAL 15 MINUTE, ts) - to_minutes(CAST(15 * k AS BIGINT)), '%Y-%m-%d %H:%M:%S')
+ AS window_start, count(value) AS rows, TRUE AS within_error FROM events, unnest(range(4)) AS t(k) WHERE value IS NOT NULL GROUP BY 1""",
+)
+def sliding_p95_panes(spark, folder):
+    """Sketched 95th percentiles of sliding windows, each ranked among its window's values."""
+    events, width, pane = _events(spark, folder), "1 hour", "15 minutes"
+    merged = P.sliding_quantiles(P.pane_partials(events, pane, value="value"), {"p95": 0.95}, width, pane)
+    return P.within_error(events, merged, "p95", 0.95, width, pane)
+
+
 _BUCKETS = " UNION ALL ".join(
     [
         f"SELECT CAST({i + 1} AS BIGINT) AS position, '{b}' AS le, count(*) FILTER (value <= {b}) AS rows FROM events"

@@ -11,11 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..schema import DURATION_BOUNDS
 from .distribution import distribution
-
-
-def _seconds(width: str) -> int:
-    amount, unit = width.split()
-    return int(amount) * {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[unit.rstrip("s")]
+from .panes import pane_partials, seconds_of, sliding_rate
 
 
 def _window(width: str, slide: str | None) -> Column:
@@ -25,7 +21,14 @@ def _window(width: str, slide: str | None) -> Column:
 def request_rate(
     events: DataFrame, width: str = "1 hour", slide: str | None = None, by: Sequence[str] = ()
 ) -> DataFrame:
-    """Events and events per second in each window, optionally per key."""
+    """Events and events per second in each window, optionally per key.
+
+    Overlapping windows of a table are merged from panes, so no event is copied.
+    """
+    if slide and not events.isStreaming and seconds_of(width) % seconds_of(slide) == 0:
+        return sliding_rate(pane_partials(events, slide, by), width, slide, by).select(
+            "window_start", *by, "requests", "per_second"
+        )
     return (
         events.groupBy(_window(width, slide).alias("w"), *by)
         .agg(F.count("*").alias("requests"))
@@ -33,7 +36,7 @@ def request_rate(
             F.col("w.start").alias("window_start"),
             *by,
             "requests",
-            (F.col("requests") / _seconds(width)).alias("per_second"),
+            (F.col("requests") / seconds_of(width)).alias("per_second"),
         )
     )
 
