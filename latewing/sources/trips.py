@@ -67,6 +67,18 @@ def trip_facts(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "lineitem").select(*(c.alias(n) for n, c in _facts().items()))
 
 
+#: A scan of less than this many bytes for each core may be one task: Parquet is cut between row groups only.
+_BYTES_A_CORE, _WORTH_SPREADING = 128 << 20, 4 << 20
+
+
+def spread(df: DataFrame, source: DataFrame, key: Sequence[str] = RECORD_KEY) -> DataFrame:
+    """``df`` over all cores, where ``source``, from which it comes, is too small to be read by as many tasks."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    held = [c for c in key if c in df.columns]
+    return df.repartition(cores, *held) if _WORTH_SPREADING < size < cores * _BYTES_A_CORE else df
+
+
 def with_places(facts: DataFrame, folder: str) -> DataFrame:
     """Trips plus origin (supplier's nation) and destination (customer's nation).
 
@@ -83,7 +95,7 @@ def with_places(facts: DataFrame, folder: str) -> DataFrame:
         .join(customers, F.col("o_custkey") == F.col("c_custkey"))
         .select("o_orderkey", "dest_key")
     )
-    return (
+    joined = (
         facts
         # No hint: Spark knows both sizes and may broadcast what a filter has made small.
         .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
@@ -92,6 +104,8 @@ def with_places(facts: DataFrame, folder: str) -> DataFrame:
         .join(dests, "dest_key")
         .select(*facts.columns, "ORIGIN", "DEST")
     )
+    # Spark may have broadcast small records, and then reads the orders by few tasks.
+    return spread(joined, facts)
 
 
 def trips(spark: SparkSession, folder: str) -> DataFrame:
