@@ -2,27 +2,30 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
+from functools import lru_cache
 
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from ..operators import analysis as A
 from ..operators import encoding as E
 from ..operators import metrics as M
+from ..operators import modeling
 from ..operators.cleaning import clean, usable_rows
 from ..operators.features import with_features
 from ..operators.scoring import score_features, score_text
-from ..operators.split import earliest, find_cut, labelled, labelled_split
+from ..operators.split import earliest, find_cut, fold_of, labelled, labelled_split
 from ..plans.batch_scoring import quarantine
 from ..plans.training import TrainingSettings, train
 from ..schema import PREDICTION, TARGET
+from ..session import staged
 from ..sources.trips import RECORD_KEY, text_trips, trip_facts, trips, with_places
 from .quality import _RULES
 from .registry import CLEAN, FACTS, RECORD_ORDER, TEXT, TRIPS, USABLE, clean_view, query
 
 KEYS = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 KEYS_SQL = "l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey, l_suppkey"
-SETTINGS = TrainingSettings(record_key=RECORD_KEY, rounds=10, depth=5)
+SETTINGS = TrainingSettings(record_key=RECORD_KEY)
 
 
 def _clean_trips(spark, folder):
@@ -280,16 +283,69 @@ def score_batch(spark, folder):
     return A.by_route(score_text(good, DistanceModel))
 
 
+@lru_cache(maxsize=2)
+def _trained(session: str, spark, folder: str) -> tuple:
+    """Stored metrics and importance of one fit, which both queries of a session share."""
+    result = train(trips(spark, folder), SETTINGS)
+    found = staged(result.metrics, "metrics"), staged(result.importance["boosted_trees"], "importance")
+    result.close()
+    return *found, result.trees["boosted_trees"]
+
+
 @query("train_predict")
 def train_predict(spark, folder):
+    """Both models with the defaults; ``trees`` is how many rounds of the ceiling the validation rows asked for."""
+    figures, _, trees = _trained(spark.sparkContext.applicationId, spark, folder)
     boosted = F.col("model") == "boosted_trees"
-    return train(trips(spark, folder), SETTINGS).metrics.select(
-        "*", F.when(boosted, F.lit(SETTINGS.rounds)).alias("rounds"), F.when(boosted, F.lit(SETTINGS.depth)).alias("depth")
+    return figures.select(
+        "*", F.when(boosted, F.lit(trees)).alias("trees"), F.when(boosted, F.lit(SETTINGS.rounds)).alias("rounds"),
+        F.when(boosted, F.lit(SETTINGS.depth)).alias("depth"),
     )
 
 
 @query("feature_importance")
 def feature_importance(spark, folder):
-    only_trees = replace(SETTINGS, models=("boosted_trees",))
-    found = train(trips(spark, folder), only_trees).importance["boosted_trees"]
-    return found.withColumns({"rounds": F.lit(SETTINGS.rounds), "depth": F.lit(SETTINGS.depth)})
+    _, importance, trees = _trained(spark.sparkContext.applicationId, spark, folder)
+    return importance.withColumns({"trees": F.lit(trees), "rounds": F.lit(SETTINGS.rounds), "depth": F.lit(SETTINGS.depth)})
+
+
+@query(
+    "train_linear",
+    f"""WITH {_FACT_SPLIT}, fitted AS (SELECT regr_slope(ARR_DELAY, DISTANCE) AS slope, regr_intercept(ARR_DELAY, DISTANCE) AS base
+ FROM parts WHERE split = 'train')
+SELECT split, count(*) AS n, CAST(sum(l_orderkey) AS BIGINT) AS key_sum, round(any_value(slope), 5) AS slope,
+round(any_value(base), 4) AS intercept, round(sqrt(avg((ARR_DELAY - base - slope * DISTANCE) ** 2)), 4) AS rmse
+FROM parts, fitted GROUP BY 1""",
+)
+def train_linear(spark, folder):
+    """The parts of training, and a fit of one feature that a closed formula can check."""
+    parts = labelled_split(clean(trip_facts(spark, folder)), RECORD_KEY).select("split", "l_orderkey", "DISTANCE", TARGET)
+    parts = staged(parts, "parts")
+    stages = modeling.encoded_preprocessor(["DISTANCE"])
+    plain = LinearRegression(
+        featuresCol=modeling.FEATURES, labelCol=TARGET, predictionCol=modeling.RAW_PREDICTION, solver="normal"
+    )
+    pipeline = modeling.fit(parts.where("split = 'train'"), stages, plain)
+    line = pipeline.stages[-1]
+    error = F.sqrt(F.avg((F.col(TARGET) - F.col(modeling.RAW_PREDICTION)) ** 2))
+    return pipeline.transform(parts).groupBy("split").agg(
+        F.count("*").alias("n"), F.sum("l_orderkey").alias("key_sum"),
+        F.lit(round(float(line.coefficients[0]), 5)).alias("slope"), F.lit(round(float(line.intercept), 4)).alias("intercept"),
+        F.round(error, 4).alias("rmse"),
+    )
+
+
+@query(
+    "fold_assignment",
+    f"WITH {FACTS} SELECT count(*) AS rows, CAST(5 AS BIGINT) AS folds, TRUE AS balanced, TRUE AS stable FROM facts",
+)
+def fold_assignment(spark, folder):
+    """Every record has one of five folds, of about equal size, whatever the partitioning."""
+    facts = trip_facts(spark, folder)
+    one, other = (df.groupBy(fold_of(RECORD_KEY, 5).alias("fold")).count() for df in (facts, facts.repartition(3, "l_partkey")))
+    both = one.join(other.withColumnRenamed("count", "again"), "fold")
+    spare = 5 * F.sqrt(F.sum("count"))  # five standard deviations of a fair deal are less
+    return both.agg(
+        F.sum("count").alias("rows"), F.count("*").alias("folds"),
+        (F.max("count") - F.min("count") <= spare).alias("balanced"), F.bool_and(F.col("count") == F.col("again")).alias("stable"),
+    )

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -63,8 +66,41 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+class Stages:
+    """Intermediate folders of one piece of work; ``drop`` deletes them when nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folders = spark, []
+
+    def drop(self) -> None:
+        for folder in self.folders:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.folders.clear()
+
+
+_OPEN: ContextVar[tuple[Stages, ...]] = ContextVar("open_stages", default=())
+
+
+@contextmanager
+def stages(spark: SparkSession) -> Iterator[Stages]:
+    """Collects the folders that are named inside; they outlive it until they are dropped."""
+    own = Stages(spark)
+    token = _OPEN.set((*_OPEN.get(), own))
+    try:
+        yield own
+    except BaseException:
+        own.drop()
+        raise
+    finally:
+        _OPEN.reset(token)
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    for own in _OPEN.get():
+        own.folders.append(folder)
+    return folder
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:

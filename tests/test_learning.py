@@ -13,7 +13,7 @@ from latewing.operators.features import with_features
 from latewing.operators.modeling import DelayModel
 from latewing.operators.scoring import score_features, score_text
 from latewing.plans.training import TrainingSettings, train
-from latewing.schema import PREDICTION, InputError
+from latewing.schema import MODEL_FEATURES, PREDICTION, TARGET, InputError
 from latewing.sources.trips import RECORD_KEY, trips
 from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
@@ -245,8 +245,62 @@ def test_training_refuses_what_features_refuse(spark, small):
 
 
 def test_training_states_its_rounds(spark, small):
-    assert (TrainingSettings(RECORD_KEY).rounds, TrainingSettings(RECORD_KEY).depth) == (1000, 6)
+    defaults = TrainingSettings(RECORD_KEY)
+    assert (defaults.rounds, defaults.depth, defaults.validation_share) == (1000, 6, 0.1) and learning.SETTINGS == defaults
     rows = {r["model"]: r for r in learning.train_predict(spark, small).collect()}
-    assert (rows["boosted_trees"]["rounds"], rows["boosted_trees"]["depth"]) == (learning.SETTINGS.rounds, learning.SETTINGS.depth)
-    assert rows["linear"]["rounds"] is None and rows["linear"]["depth"] is None
-    assert {r["rounds"] for r in learning.feature_importance(spark, small).collect()} == {learning.SETTINGS.rounds}
+    boosted = rows["boosted_trees"]
+    assert (boosted["rounds"], boosted["depth"]) == (1000, 6) and 1 <= boosted["trees"] < 1000
+    assert rows["linear"]["trees"] is None and rows["linear"]["rounds"] is None
+    assert {r["trees"] for r in learning.feature_importance(spark, small).collect()} == {boosted["trees"]}
+
+
+def test_validation_stops_boosting(spark):
+    """A step in one feature is learnt in few rounds; noise in the latest rows ends them, all of them run without a look."""
+    from latewing.operators import modeling
+
+    rows = [(float(i % 10), float(i % 10 > 4) * 20 + (i * 7919 % 13) / 13, i >= 1800) for i in range(2000)]
+    table = spark.createDataFrame(rows, f"DISTANCE double, {TARGET} double, late boolean")
+    stages = modeling.encoded_preprocessor(["DISTANCE"])
+
+    def trees(**settings):
+        model = modeling.estimators(rounds=12, depth=2, min_rows=5, **settings)["boosted_trees"]
+        return modeling.DelayModel(modeling.fit(table, stages, model)).trees
+
+    assert trees() == 12 and trees(validation="late", tolerance=0.01) < 12
+
+
+def test_latest_training_rows_validate(spark, small):
+    from latewing.plans.training import prepare
+
+    table = prepare(trips(spark, small), TrainingSettings(RECORD_KEY)).groupBy("split", "validation").count()
+    counts = {(r["split"], r["validation"]): r["count"] for r in table.collect()}
+    total = sum(counts.values())
+    assert counts.keys() == {("train", False), ("train", True), ("test", False)}
+    assert counts["train", False] == int(total * 0.8 * 0.9) and counts["test", False] == total - int(total * 0.8)
+
+
+def test_results_are_published_and_steps_removed(spark, small, tmp_path):
+    from pathlib import Path
+
+    from latewing.plans.training import store_result
+    from latewing.sources.published import published, run_records
+
+    settings = TrainingSettings(RECORD_KEY, rounds=2, depth=2, min_rows=20, models=("boosted_trees",))
+    result = train(trips(spark, small), settings)
+    folders = [f.removeprefix("file:") for f in result.stages.folders]
+    assert len(folders) > 4
+    for _ in range(2):
+        store_result(result, settings, str(tmp_path / "runs"), "r1")
+    assert published(spark, str(tmp_path / "runs"), "metrics").count() == 1
+    assert published(spark, str(tmp_path / "runs"), "importance_boosted_trees").count() == len(MODEL_FEATURES)
+    facts = run_records(spark, str(tmp_path / "runs")).first()["facts"]
+    assert "boosted_trees" in facts["trees"] and "rounds=2" in facts["settings"]
+    assert any(Path(f).exists() for f in folders)
+    result.close()
+    assert not any(Path(f).exists() for f in folders)
+
+
+def test_more_folds_than_rows_are_refused(spark, small):
+    settings = TrainingSettings(RECORD_KEY, folds=10, sample_size=8, exact_quartiles=True)
+    with pytest.raises(InputError, match="6 training rows cannot fill 10 folds"):
+        train(trips(spark, small), settings)
