@@ -1,196 +1,219 @@
-"""Toxicity by class-conditional Kneser-Ney models of characters inside words.
+"""Toxicity by class-conditional Kneser-Ney models of words.
+
+The class is the context of a word: P(w | class) = (c(class, w) - D) / c(class) + rest(class) * shared(w),
+where c counts texts that hold w, D is the discount of words seen once, twice or more, and rest
+is all that was discounted. The shared backoff is Kneser and Ney's: it does not count how often a
+word occurs, but after how many contexts, here in how many of the two classes, it occurs at all. So an
+expression that only toxic texts hold stays unlikely for the ordinary model, however frequent it
+is, while rare words of either class fall back to the same small share. Both models sum to one
+over the words of the labelled texts.
+
+A word's evidence is the log-ratio of the two models, of either sign; a word of no labelled text is
+none. A text's evidence is the log of its mean likelihood ratio: how much likelier the text is if one of its words, it
+does not matter which, comes from the toxic model. It is normalised by length. A logistic
+line turns it into a score; that line is fitted on texts of each fold judged by models that
+were counted without that fold. The final model counts all labelled texts outside the held-out fold.
 
 Rows are documents (``doc_id``, ``text``) and labels (``doc_id``, ``toxic``); other columns
-are ignored. The two models count n-grams in all labelled texts outside the held-out
-fold but those set aside for calibration. A word whose toxic log-likelihood is not at least
-``FLOOR`` above the ordinary one counts as alike in both, so that thousands of common words
-add no noise; the sum of the differences is divided by the number of words. NULL and blank texts get the share of toxic rows as
-score. Labels other than 0 and 1, and rows without an id, teach nothing; a ``doc_id``
-labelled twice counts twice. Without both classes every score is that share, smoothed.
-No rows give no rows.
+are ignored. Words are what stands between blanks, in lower case, without punctuation at their ends; a text counts a
+word once, however often it holds it. NULL and blank texts, and texts of punctuation, get the
+share of toxic rows as score. Labels other than 0 and 1, and rows without an id, teach nothing; a ``doc_id``
+labelled twice counts twice. Without both classes every score is that share, smoothed. A score of
+exactly 0.5 counts as toxic. Texts are read whole, very long ones in time that grows with their words. No rows give no rows.
+
+The model is a table with one row for each word (by 64-bit hash). It grows with the corpus: tasks
+hold it in blocks of at most ``BLOCK`` words, and texts are read once for each block.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import xxhash
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import staged
 from .common import batch, ddl, fold, held_out, slices
 
-ORDER = 4
-#: Up to this order both classes back off to counts of both together.
-SHARED = 2
-#: Slots of the n-grams of each order, as powers of two: the size of the model whatever the corpus.
-SLOT_BITS = (0, 12, 16, 18, 20)
-#: The fold whose labelled rows calibrate the score instead of being counted.
-CALIBRATION_FOLD = 1
-#: Least log-ratio of a word that counts, in nats.
-FLOOR = 3.0
-#: Bins of the calibration, over log(1 + STEEP * mean ratio) from 0 to LIMIT.
-CELLS, LIMIT, STEEP = 4000, 10.0, 100.0
+#: Folds that teach; the fold 0 is held out.
+FOLDS = (1, 2, 3, 4)
+#: Words of the model that a task holds at once, of 28 bytes each.
+BLOCK = 1_000_000
+#: Counts from here on have one discount.
+_TOP = 3
+_ENDS = "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127), 171, 187, 191, 8230]))
+_MEMO = 300_000
+#: Bins of the calibration over evidence from ``-LIMIT`` to ``LIMIT``; what lies outside counts as at the end.
+CELLS, LIMIT = 4000, 20.0
 
-_START, _END = 2, 3
-_MEMO = 400_000
 
+class _Words:
+    """Clean words of raw ones, by a memo of bounded size."""
 
+    def __init__(self, value: Callable[[list[str]], list]):
+        self.value, self.known = value, {}
 
-def _mix(codes: np.ndarray) -> np.ndarray:
-    codes = (codes ^ (codes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    return codes ^ (codes >> np.uint64(29))
+    def learn(self, raw: set[str]) -> None:
+        if len(self.known) + len(raw) > _MEMO:
+            self.known.clear()
+        new = list(raw.difference(self.known))
+        self.known.update(zip(new, self.value([w.strip(_ENDS) for w in new])))
 
 
-def word_ngrams(words: list[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """For every predicted character of every word: the word's number, how many characters
-    stand before it (the word's start included), and its slots by order.
+def _hashes(words: list[str]) -> list[int]:
+    """Signed 64-bit hashes; 0 for no word."""
+    return [xxhash.xxh64_intdigest(w.encode(), 42) - (1 << 63) if w else 0 for w in words]
 
-    ``slots[n][i]`` is the slot of the n characters that end at i; -1 where there are fewer.
-    """
-    text = "".join(f"{chr(_START)}{w}{chr(_END)}" for w in words)
-    codes = _mix(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1))
-    size = np.fromiter((len(w) + 2 for w in words), np.int64, len(words))
-    word = np.repeat(np.arange(len(words)), size)
-    place = np.arange(len(codes)) - np.repeat(np.cumsum(size) - size, size)
-    own, slots = codes, [np.zeros(len(codes), np.int64)]
-    for n in range(1, ORDER + 1):
-        if n > 1:
-            longer = np.zeros_like(own)
-            longer[n - 1 :] = _mix(own[n - 1 :] * np.uint64(0xD6E8FEB86659FD93) + codes[: -(n - 1)])
-            own = longer
-        slots.append(np.where(place >= n - 1, (own >> np.uint64(64 - SLOT_BITS[n])).astype(np.int64), -1))
-    return word, place, slots
-
-
-class KneserNey:
-    """Interpolated probabilities in dense tables: a share for each n-gram, a weight left to shorter ones for each context."""
-
-    def __init__(self, rows: dict[int, dict[str, np.ndarray]]):
-        self.shares: list[np.ndarray] = [np.empty(0)]
-        self.weights: list[np.ndarray] = [np.empty(0)]
-        for n in range(1, ORDER + 1):
-            own = rows[n]
-            counts = own["counts"].astype(float)  # a row for each n-gram, a column for each class
-            if n < ORDER:  # distinct characters before it; at the start of a word there is none, and the count stands
-                seen = np.zeros((1 << SLOT_BITS[n], 2))
-                for k in range(2):
-                    seen[:, k] = np.bincount(rows[n + 1]["suffix"], rows[n + 1]["counts"][:, k] > 0, 1 << SLOT_BITS[n])
-                before = seen[own["slot"]]
-                counts = np.where(before.sum(axis=1, keepdims=True) > 0, before, counts)
-            if n <= SHARED:
-                counts = np.repeat(counts.sum(axis=1, keepdims=True), 2, axis=1)
-            share = np.zeros((1 << SLOT_BITS[n], 2), np.float32)
-            weight = np.ones((1 << SLOT_BITS[n - 1], 2), np.float32)
-            for k in range(2):
-                once, twice = int((counts[:, k] == 1).sum()), int((counts[:, k] == 2).sum())
-                discount = once / (once + 2 * twice) if once and twice else 0.5
-                total = np.bincount(own["context"], counts[:, k], len(weight))
-                kinds = np.bincount(own["context"], counts[:, k] > 0, len(weight))
-                known = total > 0
-                left = np.where(known, np.minimum(discount * kinds / np.maximum(total, 1), 1), 1)
-                weight[:, k] = left
-                share[own["slot"], k] = np.maximum(counts[:, k] - discount, 0) / np.maximum(total[own["context"]], 1)
-            self.shares.append(share)
-            self.weights.append(weight)
-
-    def log_ratios(self, words: list[str]) -> np.ndarray:
-        """Per word the toxic less the ordinary log-likelihood."""
-        word, place, slots = word_ngrams(words)
-        chance = np.full((len(word), 2), 1 / (1 << SLOT_BITS[1]))
-        for n in range(1, ORDER + 1):
-            at = np.flatnonzero((place >= 1) & (place >= n - 1))
-            context = slots[n - 1][at - 1] if n > 1 else np.zeros(len(at), np.int64)
-            chance[at] = self.shares[n][slots[n][at]] + self.weights[n][context] * chance[at]
-        ratio = np.log(chance[:, 0] / chance[:, 1]) * (place >= 1)
-        return np.bincount(word, ratio, len(words))
-
-
-class Scorer:
-    """Evidence of whole texts; equal words are looked up once."""
-
-    def __init__(self, model: KneserNey):
-        self.model, self.ratio = model, {}
-
-    def evidence(self, texts: list[str | None]) -> np.ndarray:
-        """From 0 up; NaN for a text without a word."""
-        split = [(t or "").lower().split() for t in texts]
-        unknown = list({w for words in split for w in words if w not in self.ratio})
-        if len(self.ratio) + len(unknown) > _MEMO:
-            self.ratio.clear()
-            unknown = list({w for words in split for w in words})
-        for start in range(0, len(unknown), 20_000):
-            part = unknown[start : start + 20_000]
-            ratio = self.model.log_ratios(part)
-            self.ratio.update(zip(part, np.where(ratio >= FLOOR, ratio, 0.0).tolist()))
-        find = self.ratio.__getitem__
-        return np.log1p(STEEP * np.array([sum(map(find, w)) / len(w) if w else np.nan for w in split], float))
-
-
-_GRAM = {
-    "size": pa.int32(), "slot": pa.int32(), "context": pa.int32(), "suffix": pa.int32(),
-    "toxic": pa.int64(), "ordinary": pa.int64(),
-}
-
-
-def count_ngrams(taught: DataFrame) -> dict[int, dict[str, np.ndarray]]:
-    """Counts of all n-grams of ``taught`` (``text``, ``toxic``), by order.
-
-    Tasks count words, then the n-grams of distinct words; sums meet by slot. At most
-    one row for each slot comes to the driver.
+
+def split_words(texts: list[str | None]) -> list[list[str]]:
+    return [(t or "").lower().split() for t in texts]
+
+
+_CELLS = [f"c{k}{f}" for k in (0, 1) for f in FOLDS]
+_COUNT = {"word": pa.int64(), **{c: pa.int64() for c in _CELLS}}
+
+
+def count_words(taught: DataFrame) -> DataFrame:
+    """Per word the texts that hold it, by class and fold: columns ``c01`` to ``c14``.
+
+    ``taught`` has ``text``, ``toxic`` and ``fold``. Tasks sum before the shuffle.
     """
 
-    def emit(seen: dict[int, Counter]) -> Iterator[pa.RecordBatch]:
-        words = list(seen[0].keys() | seen[1].keys())
-        times = np.array([[seen[1][w], seen[0][w]] for w in words], np.int64).reshape(-1, 2)
-        sums: dict[int, list] = {n: [] for n in range(1, ORDER + 1)}
-        for start in range(0, len(words), 50_000):
-            word, place, slots = word_ngrams(words[start : start + 50_000])
-            for n in sums:
-                at = np.flatnonzero((place >= 1) & (place >= n - 1))
-                key = slots[n][at]
-                context = slots[n - 1][at - 1] if n > 1 else np.zeros(len(at), np.int64)
-                suffix = slots[n - 1][at] if n > 1 else np.zeros(len(at), np.int64)
-                own, where = np.unique(key, return_inverse=True)
-                shorter = np.full((2, len(own)), 1 << 30)  # the least ones where n-grams share a slot, whatever their order
-                np.minimum.at(shorter[0], where, context)
-                np.minimum.at(shorter[1], where, suffix)
-                counts = [np.bincount(where, times[start + word[at], k], len(own)) for k in range(2)]
-                sums[n].append((own, *shorter, *counts))
-        for n, parts in sums.items():
-            if parts:
-                own, context, suffix, toxic, ordinary = (np.concatenate(p) for p in zip(*parts))
-                yield batch(_GRAM, {
-                    "size": np.full(len(own), n), "slot": own, "context": context, "suffix": suffix,
-                    "toxic": toxic.astype(np.int64), "ordinary": ordinary.astype(np.int64),
-                })
+    def emit(seen: dict[int, list[int]]) -> pa.RecordBatch:
+        words = np.fromiter(seen, np.int64, len(seen))
+        counts = np.array(list(seen.values()), np.int64).reshape(-1, len(_CELLS))
+        return batch(_COUNT, {"word": words, **{c: counts[:, i] for i, c in enumerate(_CELLS)}})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = {0: Counter(), 1: Counter()}
+        words, seen = _Words(_hashes), {}
         for part in slices(batches):
-            for text, toxic in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                seen[toxic].update(text.lower().split())
-            if len(seen[0]) + len(seen[1]) > _MEMO:
-                yield from emit(seen)
-                seen = {0: Counter(), 1: Counter()}
-        yield from emit(seen)
-
-    grams = taught.select("text", F.col("toxic").cast("int")).where("text IS NOT NULL").mapInArrow(run, ddl(_GRAM))
-    summed = grams.groupBy("size", "slot").agg(
-        F.min("context").alias("context"), F.min("suffix").alias("suffix"),
-        F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"),
-    )
-    rows = summed.toArrow()
-    size = rows["size"].to_numpy()
-    found = {}
-    for n in range(1, ORDER + 1):
-        own = {name: rows[name].to_numpy()[size == n] for name in ("slot", "context", "suffix", "toxic", "ordinary")}
-        found[n] = own | {"counts": np.stack([own["toxic"], own["ordinary"]], axis=1)}
+            split = split_words(part.column(0).to_pylist())
+            words.learn(set().union(*split))
+            cells = [len(FOLDS) * k + f - FOLDS[0] for k, f in zip(part.column(1).to_pylist(), part.column(2).to_pylist())]
+            for own, cell in zip(split, cells):
+                for word in {words.known[w] for w in own} - {0}:
+                    seen.setdefault(word, [0] * len(_CELLS))[cell] += 1
+            if len(seen) > _MEMO:
+                yield emit(seen)
+                seen = {}
+        yield emit(seen)
+
+    held = taught.where("text IS NOT NULL").select("text", F.col("toxic").cast("int"), F.col("fold").cast("int"))
+    return held.mapInArrow(run, ddl(_COUNT)).groupBy("word").agg(*(F.sum(c).alias(c) for c in _CELLS))
+
+
+def _count_without(k: int, left_out: int | None) -> Column:
+    return sum((F.col(f"c{k}{f}") for f in FOLDS if f != left_out), F.lit(0).cast("bigint"))
+
+
+def discounts(once: int, twice: int, thrice: int, more: int) -> list[float]:
+    """Discounts of counts 0, 1, 2 and 3 or more, from the numbers of words with counts 1 to 4."""
+    share = once / (once + 2 * twice) if once and twice else 0.5
+    found, numbers = [0.0], (once, twice, thrice, more)
+    for n in range(1, _TOP + 1):
+        left = n - (n + 1) * share * numbers[n] / numbers[n - 1] if numbers[n - 1] else n / 2
+        found.append(min(max(left, 0.05), n - 0.05))
     return found
 
 
+def ratios(counts: DataFrame) -> DataFrame:
+    """``word`` and its log-ratio: ``r0`` from all folds, ``r1`` to ``r4`` without one fold each; 0 where no class has it."""
+    models = (None, *FOLDS)
+    sums = []
+    for m, left_out in enumerate(models):
+        for k in (0, 1):
+            own = _count_without(k, left_out)
+            sums += [F.sum(own).alias(f"n{m}{k}"), F.count_if(own > 0).alias(f"t{m}{k}")]
+            sums += [F.count_if(own == n).alias(f"o{m}{k}{n}") for n in range(1, _TOP + 2)]
+    figures = counts.agg(*sums).first().asDict()
+    columns = []
+    for m, left_out in enumerate(models):
+        chance, own = [], [_count_without(k, left_out) for k in (0, 1)]
+        types = max(sum(figures[f"t{m}{k}"] for k in (0, 1)), 1)
+        shared = sum(((c > 0).cast("int") for c in own), F.lit(0)) / types
+        for k, count in enumerate(own):
+            numbers = [figures[f"o{m}{k}{n}"] for n in range(1, _TOP + 2)]
+            cut, total = discounts(*numbers), max(figures[f"n{m}{k}"] or 0, 1)
+            rest = sum(cut[n] * numbers[n - 1] for n in range(1, _TOP)) + cut[_TOP] * (
+                figures[f"t{m}{k}"] - sum(numbers[: _TOP - 1])
+            )
+            taken = F.element_at(F.array(*map(F.lit, cut)), (F.least(count, F.lit(_TOP)) + 1).cast("int"))
+            chance.append(F.greatest(count - taken, F.lit(0.0)) / total + rest / total * shared)
+        known = (own[0] + own[1] > 0) & (chance[0] > 0) & (chance[1] > 0)
+        columns.append(F.when(known, F.log(chance[1] / chance[0])).otherwise(0.0).alias(f"r{m}"))
+    return counts.select("word", *columns)
+
+
+def _block(model: DataFrame, number: int, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """One block's words, in order, and their ratios. Blocks are cut by hash, so they are of about one size."""
+    rows = model.where(F.pmod("word", F.lit(blocks)) == number).toArrow()
+    words = rows["word"].to_numpy()
+    order = np.argsort(words)
+    values = np.stack([rows[f"r{m}"].to_numpy() for m in range(len(FOLDS) + 1)], axis=1)
+    return words[order], values[order].astype(np.float32)
+
+
+_SUMS = {"doc_id": pa.int64(), "words": pa.int64(), "own": pa.float64(), "crossed": pa.float64()}
+_RATED = {"doc_id": pa.int64(), "text": pa.string(), "fold": pa.int32(), **_SUMS}
+
+
+def _rate_block(docs: DataFrame, words: np.ndarray, values: np.ndarray, last: bool) -> DataFrame:
+    """Adds one block's words to the sums of likelihood ratios, less 1 each, and counts a text's words.
+
+    The last block's rows are without their texts.
+    """
+    fields = _SUMS if last else _RATED
+    shared = docs.sparkSession.sparkContext.broadcast((words, values))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, ratio = shared.value
+        gain = np.vstack([np.expm1(np.clip(ratio, -50, 50)), np.zeros((2, ratio.shape[1]), np.float32)])
+
+        def places(clean: list[str]) -> list[int]:
+            """A word's row; the row after the last for others, one more for no word at all."""
+            wanted = np.array(_hashes(clean), np.int64)
+            at = np.searchsorted(known, wanted)
+            held = (at < len(known)) & (known[np.minimum(at, len(known) - 1)] == wanted) if len(known) else np.zeros(len(at), bool)
+            return np.where(wanted == 0, len(known) + 1, np.where(held, at, len(known))).tolist()
+
+        memo = _Words(places)
+        for part in slices(batches):
+            split = split_words(part.column(1).to_pylist())
+            memo.learn(set().union(*split))
+            folds = [f or 0 for f in part.column(2).to_pylist()]
+            found = []
+            for own, f in zip(split, folds):
+                at = np.fromiter(map(memo.known.__getitem__, own), np.int64, len(own))
+                found.append((int((at <= len(known)).sum()), float(gain[at, 0].sum(dtype=float)), float(gain[at, f].sum(dtype=float))))
+            counts, sums, crossed = zip(*found)
+            before = [np.asarray(part.column(i).to_numpy(zero_copy_only=False)) for i in (4, 5)]
+            yield batch(fields, {
+                "doc_id": part.column(0), "text": part.column(1), "fold": part.column(2), "words": list(counts),
+                "own": before[0] + np.array(sums), "crossed": before[1] + np.array(crossed),
+            })
+
+    return docs.mapInArrow(run, ddl(fields))
+
+
+def rate(docs: DataFrame, model: DataFrame) -> DataFrame:
+    """``doc_id``, ``evidence`` and ``crossed``, the evidence of the model without the text's fold; NULL without a word."""
+    zero = F.lit(0.0)
+    rows = docs.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), "text", fold(F.col("doc_id")).cast("int").alias("fold"),
+        F.lit(0).cast("bigint").alias("words"), zero.alias("own"), zero.alias("crossed"),
+    )
+    blocks = max(1, -(-model.count() // BLOCK))
+    for number in range(blocks):
+        rows = staged(rows, "rated") if number else rows  # one block in a worker's memory at a time
+        rows = _rate_block(rows, *_block(model, number, blocks), last=number == blocks - 1)
+    # Likelihood ratios are above 0, but their sum may come out at 0 by rounding.
+    mean = lambda c: F.log(F.greatest(F.col(c) / F.col("words") + 1, F.lit(1e-9)))
+    some = F.col("words") > 0
+    return rows.select("doc_id", F.when(some, mean("own")).alias("evidence"), F.when(some, mean("crossed")).alias("crossed"))
+
+
 def fit_logistic(value: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) -> tuple[float, float]:
     """Slope and intercept of the chance of class 1, from counts of both classes by value."""
     x = np.stack([value, np.ones_like(value)], axis=1)
@@ -208,35 +231,23 @@ def fit_logistic(value: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) ->
 
 
 def _calibrate(rated: DataFrame, known: DataFrame) -> tuple[float, float] | None:
-    """Slope and intercept from labelled rows of ``rated`` (``doc_id``, ``evidence``)."""
-    cell = F.least(F.floor(F.col("evidence") / LIMIT * CELLS), F.lit(CELLS - 1)).cast("int")
-    counted = rated.where("evidence IS NOT NULL").join(known, "doc_id").groupBy(cell.alias("cell"))
+    """Slope and intercept from labelled rows of ``rated``, by evidence from models that did not count them."""
+    place = (F.col("crossed") + LIMIT) / (2 * LIMIT) * CELLS
+    cell = F.least(F.greatest(F.floor(place), F.lit(0)), F.lit(CELLS - 1)).cast("int")
+    counted = rated.where("crossed IS NOT NULL").join(known, "doc_id").groupBy(cell.alias("cell"))
     summed = counted.agg(F.sum("toxic").alias("toxic"), F.count("*").alias("rows")).toPandas()
     toxic, total = summed["toxic"].to_numpy(float), summed["rows"].to_numpy(float)
     if not 0 < toxic.sum() < total.sum():
         return None
-    return fit_logistic(summed["cell"].to_numpy(float) / CELLS * LIMIT, toxic, total - toxic)
-
-
-def rate(docs: DataFrame, model: KneserNey) -> DataFrame:
-    """``doc_id`` and ``evidence`` of every document; NULL evidence for a text without a word."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    fields = {"doc_id": pa.int64(), "evidence": pa.float64()}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
-        for part in slices(batches):
-            found = scorer.evidence(part.column(1).to_pylist())
-            yield batch(fields, {"doc_id": part.column(0), "evidence": pa.array(found, mask=np.isnan(found))})
-
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, ddl(fields))
+    middle = (summed["cell"].to_numpy(float) + 0.5) / CELLS * 2 * LIMIT - LIMIT
+    return fit_logistic(middle, toxic, total - toxic)
 
 
 def predict(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id``, ``held_out``, ``score`` and ``predicted`` for every document.
 
     Texts meet labels once, to be counted; calibration joins the stored evidence,
-    a number for each document.
+    two numbers for each document.
     """
     # Labels grow with the documents, so their join is planned alike at every size.
     known = labels.where("toxic IN (0, 1)").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int")).hint("merge")
@@ -245,15 +256,15 @@ def predict(docs: DataFrame, labels: DataFrame) -> DataFrame:
         .where(~held_out(F.col("doc_id")))
         .join(known, "doc_id")
     )
-    aside = fold(F.col("doc_id")) == CALIBRATION_FOLD
-    classes = labelled.groupBy("toxic").count().collect()  # two rows
-    number = {r["toxic"]: r["count"] for r in classes}
+    taught = labelled.select("text", "toxic", fold(F.col("doc_id")).alias("fold"))
+    number = {r["toxic"]: r["count"] for r in known.where(~held_out(F.col("doc_id"))).join(
+        docs.select(F.col("doc_id").cast("bigint").alias("doc_id")), "doc_id").groupBy("toxic").count().collect()}  # two rows
     share = (number.get(1, 0) + 1) / (sum(number.values()) + 2)
     rated, line = docs.select(F.col("doc_id").cast("bigint").alias("doc_id")), None
     if len(number) == 2:
-        model = KneserNey(count_ngrams(labelled.where(~aside)))
-        rated = staged(rate(docs, model), "toxicity")
-        line = _calibrate(rated.where(aside), known)
+        counts = staged(count_words(taught), "toxic-words")
+        rated = staged(rate(docs, staged(ratios(counts), "toxic-ratios")), "toxicity")
+        line = _calibrate(rated.where(~held_out(F.col("doc_id"))), known)
     score = F.lit(share)
     if line:
         logit = F.col("evidence") * line[0] + line[1]

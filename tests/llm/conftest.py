@@ -1,3 +1,5 @@
+import os
+
 import pytest
 
 LONG = "Ab cd ef gh " * 40_000
@@ -13,3 +15,8 @@ def edge(spark):
     ]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
     return docs.selectExpr("*", "1 AS score", "'x' AS row", "2 AS key", "3 AS rank", "4 AS length", "5 AS places", "6 AS root")
+
+
+@pytest.fixture(scope="session")
+def large():
+    return os.path.join(os.environ.get("TESTDATA", "/root/testdata"), "sf0.1")

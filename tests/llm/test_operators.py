@@ -1,6 +1,10 @@
+import os
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import oracle
@@ -18,6 +22,7 @@ from latewing.llm import queries as Q
 from latewing.llm.common import table
 from latewing.llm.components import components
 
+ROOT = Path(__file__).resolve().parents[2]
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LABELS = "doc_id bigint, quality int, toxic int"
 
@@ -295,9 +300,17 @@ def test_label_models(spark, medium):
     quality = Q.op8_quality_model(spark, medium).collect()
     assert held_out_quality(quality, labels, "quality") > 0.98
     assert all(r["predicted"] == (r["score"] >= 0.3) and r["held_out"] == (fold(r["doc_id"]) == 0) for r in quality)
-    toxic = Q.op6_toxicity(spark, medium).collect()
-    assert held_out_quality(toxic, labels, "toxic") > 0.85
+
+
+def test_toxicity_held_out(spark, large):
+    """On the largest table: the smaller ones hold out six toxic texts, two of them without a word that others have."""
+    labels = {r["doc_id"]: r for r in table(spark, large, "labels").collect()}
+    toxic = Q.op6_toxicity(spark, large).collect()
+    assert held_out_quality(toxic, labels, "toxic") > 0.93
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in toxic)
+    judged = [(labels[r["doc_id"]]["toxic"], r["predicted"]) for r in toxic if r["held_out"] and r["doc_id"] in labels]
+    found, false = (sum(y == kind and p == 1 for y, p in judged) for kind in (1, 0))
+    assert found >= 85 and false <= 5 and sum(y == 1 for y, _ in judged) == 97
 
 
 @pytest.mark.parametrize("model", [quality_model, toxicity])
@@ -311,13 +324,88 @@ def test_label_model_edges(spark, edge, model):
         assert model.keep(edge, labels).columns == edge.columns
 
 
-def test_kneser_ney_sums_to_one(spark):
-    rows = spark.createDataFrame([("ab abc", 1), ("ab ba cab", 0), ("abab bc", 0)], "text string, toxic int")
-    model = toxicity.KneserNey(toxicity.count_ngrams(rows))
-    word, place, slots = toxicity.word_ngrams(["ab"])
-    assert place.tolist() == [0, 1, 2, 3] and model.log_ratios(["abc"])[0] > 0 > model.log_ratios(["bab"])[0]
-    for n in range(1, toxicity.ORDER + 1):
-        assert np.all(model.weights[n] <= 1) and np.all(model.shares[n] >= 0)
+def plain_kneser_ney(texts, left_out=None):
+    """Both models as dictionaries of chances, from (fold, class, text)."""
+    held = [Counter(), Counter()]
+    for fold_number, kind, text in texts:
+        if fold_number != left_out:
+            held[kind].update({w.strip(toxicity._ENDS) for w in text.lower().split()} - {""})
+    models, words = [], set(held[0]) | set(held[1])
+    for own in held:
+        cut = toxicity.discounts(*(sum(v == n for v in own.values()) for n in (1, 2, 3, 4)))
+        total, taken = sum(own.values()), sum(cut[min(v, 3)] for v in own.values())
+        shared = {w: ((w in held[0]) + (w in held[1])) / (len(held[0]) + len(held[1])) for w in words}
+        models.append({w: max(own[w] - cut[min(own[w], 3)], 0) / total + taken / total * shared[w] for w in words})
+    return models
+
+
+TAUGHT = [
+    (1, 1, "You IDIOT, you utter idiot"), (2, 1, "idiot! the end"), (3, 1, "what an idiot it is"), (4, 1, "a moron of the end"),
+    (1, 0, "the end of the day"), (2, 0, "what a day it is"), (3, 0, "the day, the (end)"), (4, 0, "... it is it is"), (4, 0, "a day"),
+]
+
+
+def test_kneser_ney_equals_dictionaries(spark):
+    taught = spark.createDataFrame(TAUGHT, "fold int, toxic int, text string")
+    counted = toxicity.count_words(taught.repartition(3))
+    model = {r["word"]: r for r in toxicity.ratios(counted).collect()}
+    for column, left_out in enumerate((None, 1, 2, 3, 4)):
+        ordinary, toxic = plain_kneser_ney(TAUGHT, left_out)
+        assert sum(ordinary.values()) == pytest.approx(1) == pytest.approx(sum(toxic.values()))
+        for word in ordinary:
+            row = model[toxicity._hashes([word])[0]]
+            assert row[f"r{column}"] == pytest.approx(np.log(toxic[word] / ordinary[word])), (word, left_out)
+    assert len(model) == len(plain_kneser_ney(TAUGHT)[0])
+
+
+@pytest.mark.parametrize("block", [1_000_000, 4])
+def test_evidence_is_the_mean_likelihood_ratio(spark, monkeypatch, block):
+    """Also by several blocks of the model; a text's own fold is left out of what calibrates."""
+    monkeypatch.setattr(toxicity, "BLOCK", block)
+    taught = spark.createDataFrame(TAUGHT, "fold int, toxic int, text string")
+    texts = {i: t for i, t in enumerate(["You idiot, it is!", "the day", "unheard of", "", "...", None, "idiot " * 500])}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    rows = {r["doc_id"]: r for r in toxicity.rate(docs, toxicity.ratios(toxicity.count_words(taught)).cache()).collect()}
+    for i, text in texts.items():
+        words = [w.strip(toxicity._ENDS) for w in (text or "").lower().split()]
+        words = [w for w in words if w]
+        for name, left_out in (("evidence", None), ("crossed", fold(i) or None)):
+            ordinary, toxic = plain_kneser_ney(TAUGHT, left_out)
+            want = np.log(np.mean([toxic[w] / ordinary[w] if w in toxic else 1 for w in words])) if words else None
+            assert rows[i][name] == (pytest.approx(want, abs=1e-6) if words else None), (text, name)
+
+
+def test_planted_expressions_are_found(spark):
+    """Frequent in toxic texts and nowhere else, in texts as long as the others."""
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(400)]
+    rows, labels = [], []
+    for i in range(600):
+        own = rng.choice(words, 60).tolist()
+        if i % 6 == 0:
+            own[int(rng.integers(60))] = ("zorg", "vile")[i % 12 == 0]
+        rows.append((i, " ".join(own)))
+        labels.append((i, 1, int(i % 6 == 0)))
+    found = toxicity.predict(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(labels, LABELS))
+    judged = [(r["doc_id"] % 6 == 0, r["predicted"]) for r in found.collect() if r["held_out"]]
+    assert sum(t for t, _ in judged) > 10 and all(t == bool(p) for t, p in judged)
+
+
+def test_workers_need_no_package(tmp_path):
+    """Workers whose path lacks the package: functions and models travel by value."""
+    code = f"""
+import sys; sys.path.insert(0, {str(ROOT)!r})
+from latewing.llm import toxicity
+from pyspark.sql import SparkSession
+sys.path.pop(0)
+spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').config('spark.sql.shuffle.partitions', '2').getOrCreate()
+docs = spark.createDataFrame([(i, 'an idiot' if i % 2 else 'a day') for i in range(40)], 'doc_id bigint, text string')
+labels = spark.createDataFrame([(i, i % 2) for i in range(40)], 'doc_id bigint, toxic int')
+print('rows', toxicity.predict(docs, labels).count())
+"""
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=300,
+                          env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+    assert "rows 40" in done.stdout, done.stderr[-2000:]
 
 
 # 7: URLs
