@@ -1,15 +1,15 @@
 """Toxicity by class-conditional Kneser-Ney models of words.
 
 The class is the context of a word: P(w | class) = (c(class, w) - D) / c(class) + rest(class) * shared(w),
-where c counts texts that hold w, D is the discount of words seen once, twice or more, and rest
+where c counts texts that hold w, D is the discount of words in one text (all of it), two or more, and rest
 is all that was discounted. The shared backoff is Kneser and Ney's: it does not count how often a
 word occurs, but after how many contexts, here in how many of the two classes, it occurs at all. So an
 expression that only toxic texts hold stays unlikely for the ordinary model, however frequent it
 is, while rare words of either class fall back to the same small share. Both models sum to one
 over the words of the labelled texts.
 
-A word's evidence is the log-ratio of the two models, of either sign; a word of no labelled text is
-none. A text's evidence is the log of its mean likelihood ratio: how much likelier the text is if one of its words, it
+A word's evidence is the log-ratio of the two models, of either sign, as against a word that both know from
+backoff alone, which is none. A text's evidence is the log of its mean likelihood ratio: how much likelier the text is if one of its words, it
 does not matter which, comes from the toxic model. It is normalised by length. A logistic
 line turns it into a score; that line is fitted on texts of each fold judged by models that
 were counted without that fold. The final model counts all labelled texts outside the held-out fold.
@@ -21,7 +21,7 @@ share of toxic rows as score. Labels other than 0 and 1, and rows without an id,
 labelled twice counts twice. Without both classes every score is that share, smoothed. A score of
 exactly 0.5 counts as toxic. Texts are read whole, very long ones in time that grows with their words. No rows give no rows.
 
-The model is a table with one row for each word (by 64-bit hash). It grows with the corpus: tasks
+The model is a table with one row for each word of two texts of a class or more (by 64-bit hash). It grows with the corpus: tasks
 hold it in blocks of at most ``BLOCK`` words, and texts are read once for each block.
 """
 
@@ -40,7 +40,7 @@ from .common import batch, ddl, fold, held_out, slices
 #: Folds that teach; the fold 0 is held out.
 FOLDS = (1, 2, 3, 4)
 #: Words of the model that a task holds at once, of 28 bytes each.
-BLOCK = 1_000_000
+BLOCK = 4_000_000
 #: Counts from here on have one discount.
 _TOP = 3
 _ENDS = "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127), 171, 187, 191, 8230]))
@@ -108,18 +108,25 @@ def _count_without(k: int, left_out: int | None) -> Column:
     return sum((F.col(f"c{k}{f}") for f in FOLDS if f != left_out), F.lit(0).cast("bigint"))
 
 
-def discounts(once: int, twice: int, thrice: int, more: int) -> list[float]:
-    """Discounts of counts 0, 1, 2 and 3 or more, from the numbers of words with counts 1 to 4."""
-    share = once / (once + 2 * twice) if once and twice else 0.5
-    found, numbers = [0.0], (once, twice, thrice, more)
-    for n in range(1, _TOP + 1):
-        left = n - (n + 1) * share * numbers[n] / numbers[n - 1] if numbers[n - 1] else n / 2
-        found.append(min(max(left, 0.05), n - 0.05))
+def discounts(twice: int, thrice: int, more: int) -> list[float]:
+    """Discounts of counts 0, 1, 2 and 3 or more, from the numbers of words with counts 2, 3 and 4.
+
+    A word of one text loses all of its count: it is as likely as the shared backoff says.
+    """
+    share = twice / (twice + 3 * thrice) if twice and thrice else 0.5
+    found, numbers = [0.0, 1.0], (twice, thrice, more)
+    for n in (2, 3):
+        left = n - (n + 1) * share * numbers[n - 1] / numbers[n - 2] if numbers[n - 2] else n / 2
+        found.append(min(max(left, 1.0), n - 0.05))
     return found
 
 
 def ratios(counts: DataFrame) -> DataFrame:
-    """``word`` and its log-ratio: ``r0`` from all folds, ``r1`` to ``r4`` without one fold each; 0 where no class has it."""
+    """``word`` and its log-ratio, ``r0`` from all folds, ``r1`` to ``r4`` without one fold each.
+
+    They are taken less the log-ratio of the two backoffs, which all words have in common that no class
+    has in two texts. Those words, known or not, have the ratio 0 and no row.
+    """
     models = (None, *FOLDS)
     sums = []
     for m, left_out in enumerate(models):
@@ -130,20 +137,21 @@ def ratios(counts: DataFrame) -> DataFrame:
     figures = counts.agg(*sums).first().asDict()
     columns = []
     for m, left_out in enumerate(models):
-        chance, own = [], [_count_without(k, left_out) for k in (0, 1)]
+        chance, own, left = [], [_count_without(k, left_out) for k in (0, 1)], []
         types = max(sum(figures[f"t{m}{k}"] for k in (0, 1)), 1)
         shared = sum(((c > 0).cast("int") for c in own), F.lit(0)) / types
         for k, count in enumerate(own):
             numbers = [figures[f"o{m}{k}{n}"] for n in range(1, _TOP + 2)]
-            cut, total = discounts(*numbers), max(figures[f"n{m}{k}"] or 0, 1)
-            rest = sum(cut[n] * numbers[n - 1] for n in range(1, _TOP)) + cut[_TOP] * (
-                figures[f"t{m}{k}"] - sum(numbers[: _TOP - 1])
-            )
+            cut, total = discounts(*numbers[1:]), max(figures[f"n{m}{k}"] or 0, 1)
+            beyond = figures[f"t{m}{k}"] - sum(numbers[: _TOP - 1])
+            left.append((sum(cut[n] * numbers[n - 1] for n in range(1, _TOP)) + cut[_TOP] * beyond) / total)
             taken = F.element_at(F.array(*map(F.lit, cut)), (F.least(count, F.lit(_TOP)) + 1).cast("int"))
-            chance.append(F.greatest(count - taken, F.lit(0.0)) / total + rest / total * shared)
-        known = (own[0] + own[1] > 0) & (chance[0] > 0) & (chance[1] > 0)
-        columns.append(F.when(known, F.log(chance[1] / chance[0])).otherwise(0.0).alias(f"r{m}"))
-    return counts.select("word", *columns)
+            chance.append(F.greatest(count - taken, F.lit(0.0)) / total + left[k] * shared)
+        alike = float(np.log(left[1] / left[0])) if min(left) > 0 else 0.0
+        both = (F.greatest(*own) >= 2) & (chance[0] > 0) & (chance[1] > 0)
+        columns.append(F.when(both, F.log(chance[1] / chance[0]) - alike).otherwise(0.0).cast("float").alias(f"r{m}"))
+    often = F.greatest(*(_count_without(k, None) for k in (0, 1))) >= 2
+    return counts.where(often).select("word", *columns)
 
 
 def _block(model: DataFrame, number: int, blocks: int) -> tuple[np.ndarray, np.ndarray]:
@@ -152,7 +160,7 @@ def _block(model: DataFrame, number: int, blocks: int) -> tuple[np.ndarray, np.n
     words = rows["word"].to_numpy()
     order = np.argsort(words)
     values = np.stack([rows[f"r{m}"].to_numpy() for m in range(len(FOLDS) + 1)], axis=1)
-    return words[order], values[order].astype(np.float32)
+    return words[order], values[order]
 
 
 _SUMS = {"doc_id": pa.int64(), "words": pa.int64(), "own": pa.float64(), "crossed": pa.float64()}
