@@ -1,7 +1,8 @@
 """Best-fit packing of token sequences, in bulk-synchronous steps.
 
 Rows are documents (``doc_id``, ``text``); other columns are ignored. A NULL or
-empty text is the end mark alone. Every row is packed, repeated rows each on their
+empty text is the end mark alone. Added tokens of the vocabulary file that stand in a text are its
+own ids, as ``tokenizers`` codes them; very long texts are coded whole. Every row is packed, repeated rows each on their
 own; a NULL ``doc_id`` is packed like any other. No rows give no rows.
 """
 
@@ -73,7 +74,7 @@ class WordEncoder:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
             content = json.load(file)
-        special = {t["content"] for t in content.get("added_tokens", [])}
+        special = {t["content"]: t["id"] for t in content.get("added_tokens", [])}
         letters = _byte_letters()
         ranks = {
             bytes(letters[c] for c in token): rank
@@ -86,8 +87,18 @@ class WordEncoder:
         plain = coder.encode_ordinary
         self.first = _Memo(lambda word: np.array(plain(word), "<u4").tobytes())
         self.later = _Memo(lambda word: np.array(plain(" " + word), "<u4").tobytes())
+        # The file's added tokens are one id wherever they stand; what is between them is coded on its own.
+        longest = sorted(special, key=len, reverse=True)
+        self.added = re.compile(f"({'|'.join(map(re.escape, longest))})") if special else None
+        self.special = {name: np.array([number], "<u4").tobytes() for name, number in special.items()}
 
     def encode(self, text: str) -> bytes:
+        if self.added is None or not self.added.search(text):
+            return self._plain(text)
+        parts = self.added.split(text)
+        return b"".join(self.special[p] if n % 2 else self._plain(p) for n, p in enumerate(parts))
+
+    def _plain(self, text: str) -> bytes:
         if _IRREGULAR.search(text):
             return b"".join(map(self.first.__getitem__, _WORD_START.split(text)))
         head, *rest = text.split(" ")

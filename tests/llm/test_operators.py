@@ -226,7 +226,6 @@ def test_distance_is_jensen_shannon(spark):
 
 def test_packing(spark, medium, texts):
     coder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    coder.encode_special_tokens = True
     ids = sorted(texts)
     coded = coder.encode_batch([texts[i]["text"] or "" for i in ids], add_special_tokens=False)
     want = {i: [*c.ids, 0] for i, c in zip(ids, coded)}
@@ -258,9 +257,8 @@ def check_packing(rows, want):
 
 def test_word_encoder_equals_tokenizer():
     coder = Tokenizer.from_file(path := public_tokenizers.path("byte_bpe_50k.json"))
-    coder.encode_special_tokens = True
     words = packing.WordEncoder(path)
-    for text in ("", " ", "a  b", " a", "a ", "a\n b\tc", "don 't it's", "x\u00a0 y", "<|endoftext|> a", "é🙂 ▁ 12 3", "\x1c a\x1c b", "a" * 300):
+    for text in ("", " ", "a  b", " a", "a ", "a\n b\tc", "don 't it's", "x\u00a0 y", "<|endoftext|> a", "a <|endoftext|> b", "<|endoftext|>", " <|endoftext|><|endoftext|>x <|endo", "é🙂 ▁ 12 3", "\x1c a\x1c b", "a" * 300):
         assert np.frombuffer(words.encode(text), "<u4").tolist() == coder.encode(text, add_special_tokens=False).ids, text
 
 
