@@ -1,4 +1,9 @@
-"""The corpus pipeline: six stages, each written as Parquet and read again by the next."""
+"""The corpus pipeline: five stages, each written as Parquet and read again by the next.
+
+Every stage takes documents with NULLs in any column, empty and very long texts, repeated rows and columns of its own
+names. A NULL, empty or blank text fails the quality rules and goes in the first stage; NULL ids and languages stay; of repeated rows
+one is left by the near-dedup stage; further columns are kept up to packing. No documents give no rows.
+"""
 
 from __future__ import annotations
 
@@ -24,14 +29,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return line_dedup.drop_boilerplate(docs)
 
 
-def shingle_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose five-word shingles are similar to 0.8 or more."""
-    return near_copies.one_of_each(docs)
-
-
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group within op3's four bits."""
-    return simhash.one_of_each(docs)
+    """One document of each group: first of texts whose five-word shingles are similar to 0.8 or more, then of op3's four bits."""
+    return simhash.one_of_each(staged(near_copies.one_of_each(docs), "shingle-near-dedup"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +43,6 @@ STAGES = [
     ("quality rules", rules),
     ("quality classifier", classifier),
     ("line dedup", lines),
-    ("shingle near-dedup", shingle_dedup),
     ("simhash near-dedup", near_dedup),
     ("best-fit packing", pack),
 ]
