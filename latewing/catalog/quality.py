@@ -268,3 +268,26 @@ count(*) FILTER (CRS_ELAPSED_TIME >= 0) AS kept_rows FROM facts""",
 )
 def negative_duration(spark, folder):
     return C.negative_durations(trip_facts(spark, folder))
+
+
+@query(
+    "negative_duration_examples",
+    f"""WITH {TRIPS} SELECT strftime(FL_DATE, '%Y-%m-%d %H:%M:%S') AS FL_DATE, ORIGIN, DEST, CRS_ELAPSED_TIME, l_orderkey,
+CAST(l_linenumber AS BIGINT) AS l_linenumber FROM trips WHERE CRS_ELAPSED_TIME < 0
+ORDER BY trips.FL_DATE, l_orderkey, l_linenumber, l_partkey, l_suppkey, DISTANCE LIMIT 20""",
+)
+def negative_duration_examples(spark, folder):
+    examples = with_places(C.negative_examples(trip_facts(spark, folder), RECORD_KEY), folder)
+    return examples.select("FL_DATE", "ORIGIN", "DEST", "CRS_ELAPSED_TIME", "l_orderkey", "l_linenumber")
+
+
+@query(
+    "kept_durations",
+    f"""WITH {FACTS} SELECT OP_UNIQUE_CARRIER, count(*) AS rows, min(CRS_ELAPSED_TIME) AS shortest,
+sum(CRS_ELAPSED_TIME) AS total FROM facts WHERE CRS_ELAPSED_TIME >= 0 GROUP BY 1""",
+)
+def kept_durations(spark, folder):
+    kept = C.without_negative_durations(trip_facts(spark, folder))
+    return kept.groupBy("OP_UNIQUE_CARRIER").agg(
+        F.count("*").alias("rows"), F.min("CRS_ELAPSED_TIME").alias("shortest"), F.sum("CRS_ELAPSED_TIME").alias("total")
+    )

@@ -1,27 +1,48 @@
 """Exact count, mean and quantiles of a value, whole or per group.
 
 Equal values are counted before the shuffle, so a hot group shrinks to its
-distinct values. Distinct values are then spread over many buckets per group
-(the bucket number grows with the value); bucket totals alone tell which bucket
-holds a wanted rank, and only those buckets are sorted. No task ever holds a
-whole group.
+distinct values. A quantile sketch of these counted rows gives edges that cut them
+into buckets of about equal size, however close the values are; bucket totals alone
+tell which bucket holds a wanted rank, and only those buckets are sorted. A bucket
+of one group is part of a bucket of all groups, so no task sorts more than about
+``1 / PARTS`` of the counted rows.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-_BUCKETS_PER_OCTAVE = 64
-_VALUE_UNIT = 1e6
-_LARGEST = 1e300
+#: Buckets of about equal size; a square number.
+PARTS = 256
+#: The sketch places an edge within 1 / _ACCURACY of the counted rows.
+_ACCURACY = 10_000
+
 
+def with_bucket(counts: DataFrame, value: str, weight: str) -> DataFrame:
+    """``counts`` with ``__b``, from 0 to ``PARTS - 1``, which never decreases as the value grows.
 
-def _bucket(value: Column) -> Column:
-    """Whole number that never decreases as the value grows (log scale, signed)."""
-    size = F.log2(1 + F.least(F.abs(value), F.lit(_LARGEST)) * _VALUE_UNIT)
-    # Never NULL: a null check on one side of the join below would stop Spark
+    The edges are one row of constant size, read as a scalar subquery. It asks for the
+    weight only to have the same columns as ``counts``: so both read one shuffle.
+    """
+    shares = F.expr(f"array({', '.join(f'{i / PARTS}D' for i in range(1, PARTS))})")
+    sketched = F.percentile_approx(F.when(F.col(weight) > 0, F.col(value)), shares, _ACCURACY)
+    edged = counts.withColumn("__edges", counts.select(sketched.alias("edges")).scalar())
+    # Number of edges up to the value: whole blocks of edges first, then those inside the next block.
+    block = math.isqrt(PARTS)
+    blocks = _passed(value, [F.lit(block * i - 1) for i in range(1, block)])
+    inside = _passed(value, [F.col("__blocks") * block + i for i in range(block - 1)])
+    edged = edged.withColumn("__blocks", blocks)
+    # Never NULL: a null check on one side of a later join would stop Spark
     # from sharing the counted exchange between both sides.
-    return F.coalesce((F.signum(value) * F.floor(size * _BUCKETS_PER_OCTAVE)).cast("int"), F.lit(0))
+    return edged.select(*counts.columns, F.coalesce(F.col("__blocks") * block + inside, F.lit(0)).alias("__b"))
+
+
+def _passed(value: str, places: list[Column]) -> Column:
+    return reduce(add, [(F.get("__edges", place) <= F.col(value)).cast("int") for place in places])
 
 
 def value_counts(df: DataFrame, value: str, by=(), weight: str = "rows") -> DataFrame:
@@ -61,7 +82,7 @@ def distribution(
             .groupBy(*by, value)
             .agg(F.sum("__n").alias("__n"))
         )
-    counts = counts.withColumn("__b", _bucket(F.col(value)))
+    counts = with_bucket(counts, value, "__n")
 
     buckets = counts.groupBy(*by, "__b").agg(
         F.sum("__n").alias("__bn"),

@@ -113,7 +113,10 @@ def job_counters(events: DataFrame, started: str, succeeded: str, failed: str) -
 
 
 def latest_state(events: DataFrame, key: str = "user_id") -> DataFrame:
-    """Newest event per key; ties of time go to the larger id. Keys are reduced before the shuffle."""
+    """Newest event per key; ties of time go to the larger id.
+
+    Each task sorts its rows by key and sends one per key: a text state leaves Spark no hash aggregate.
+    """
     order = F.struct("ts", "event_id")
     return events.groupBy(key).agg(
         F.max_by("event_type", order).alias("state"),

@@ -49,7 +49,7 @@ def test_empty(spark):
 def test_bucket_number_never_falls(spark):
     xs = sorted([0.0, -0.0, 1e-9, -1e-9, 1e-3, 0.5, 1.0, 1.5, 1e6, 1e300, 1.7e308, -5.0, -1e308, -0.2])
     df = spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, x double")
-    buckets = [r[0] for r in df.orderBy("i").select(D._bucket(F.col("x"))).collect()]
+    buckets = [r["__b"] for r in D.with_bucket(df.withColumn("n", F.lit(1)), "x", "n").orderBy("i").collect()]
     assert buckets == sorted(buckets)
 
 
@@ -77,3 +77,19 @@ def test_describe_and_shape(spark):
     assert tuple(P.table_shape(df).first()) == (4, 2, 1)
     profile = {r["column"]: (r["nulls"], r["distinct_values"]) for r in P.column_profile(df).collect()}
     assert profile == {"x": (0, 3), "s": (2, 1)}
+
+
+def test_close_values_are_spread_evenly(spark):
+    close = spark.range(200_000).select((F.col("id") % 3).alias("g"), (1.7e9 + F.col("id") * 85.0).alias("x"))
+    counts = D.with_bucket(D.value_counts(close, "x", ["g"]), "x", "rows")
+    sizes = [r["count"] for r in counts.groupBy("__b").count().collect()]
+    assert len(sizes) == D.PARTS and max(sizes) <= 200_000 // 200
+    got = {r["g"]: r["m"] for r in D.distribution(close, "x", {"m": 0.5}, ["g"]).collect()}
+    assert got == {g: float(np.median(1.7e9 + np.arange(g, 200_000, 3) * 85.0)) for g in range(3)}
+
+
+def test_buckets_never_fall_as_values_grow(spark):
+    some = spark.createDataFrame([(x,) for x in (-float("inf"), -5.0, -0.0, 0.0, 1e-300, 2.0, 1e308, float("inf"))] * 2, "x double")
+    rows = D.with_bucket(D.value_counts(some, "x"), "x", "rows").orderBy("x").collect()
+    assert [r["__b"] for r in rows] == sorted(r["__b"] for r in rows) and all(0 <= r["__b"] < D.PARTS for r in rows)
+    assert D.with_bucket(D.value_counts(some.where("false"), "x"), "x", "rows").count() == 0

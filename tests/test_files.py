@@ -241,3 +241,18 @@ def test_white_space_is_no_text(spark):
     rows = spark.createDataFrame([("\t",), ("  ",), ("",), (None,), (" a",)], "ORIGIN string")
     broken = rows.select(F.coalesce(text_rules(["ORIGIN"])[0].broken, F.lit(False)).alias("b")).collect()
     assert [r["b"] for r in broken] == [True, True, True, True, False]
+
+
+def test_only_files_with_line_breaks_are_read_unsplit(spark, tmp_path):
+    (tmp_path / "a b.csv").write_text("\n  \nORIGIN,DEST\nX,Y\n" * 1 + "Z,W\n" * 50)
+    (tmp_path / "c.csv").write_text('ORIGIN,DEST\n"X\nX",Y\n')
+    (tmp_path / "d.csv").write_text("DEST,ORIGIN\nY,V\n")
+    (tmp_path / "empty.csv").write_text("")
+    found = files.csv_files(spark, f"{tmp_path}/*.csv")
+    heads = {r["file_path"].rsplit("/", 1)[-1]: r for r in files.file_heads(spark, list(found.values())).collect()}
+    assert {n: (r["head"], r["breaks"]) for n, r in heads.items()} == {
+        "a%20b.csv": ("ORIGIN,DEST", False), "c.csv": ("ORIGIN,DEST", True), "d.csv": ("DEST,ORIGIN", False)}
+    rows = files.read_records(spark, str(tmp_path)).groupBy("ORIGIN", "DEST").count().collect()
+    assert {tuple(r) for r in rows} == {("X", "Y", 1), ("Z", "W", 50), ("X\nX", "Y", 1), ("V", "Y", 1)}
+    plan = files.file_heads(spark, list(found.values()))._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" in plan and "SortAggregate" not in plan
