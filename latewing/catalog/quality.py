@@ -277,7 +277,7 @@ CAST(l_linenumber AS BIGINT) AS l_linenumber FROM trips WHERE CRS_ELAPSED_TIME <
 ORDER BY trips.FL_DATE, l_orderkey, l_linenumber, l_partkey, l_suppkey, DISTANCE LIMIT 20""",
 )
 def negative_duration_examples(spark, folder):
-    examples = with_places(C.negative_examples(trip_facts(spark, folder), RECORD_KEY), folder)
+    examples = with_places(C.negative_examples(trip_facts(spark, folder), ["FL_DATE", *RECORD_KEY]), folder)
     return examples.select("FL_DATE", "ORIGIN", "DEST", "CRS_ELAPSED_TIME", "l_orderkey", "l_linenumber")
 
 
