@@ -6,6 +6,17 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import staged
 
+#: A root's members are looked up by so many tasks.
+SPREAD = 16
+
+
+def by_root(members: DataFrame, table: DataFrame, by: str, how: str = "inner") -> DataFrame:
+    """``members`` joined with ``table``, one row per ``root``; members of one root go to ``SPREAD`` tasks by their ``by``."""
+    parts = F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))
+    part = F.pmod(F.xxhash64(by, F.lit("part")), F.lit(SPREAD)).cast("int")
+    spread = table.withColumn("__part", parts)
+    return members.withColumn("__part", part).join(spread, ["root", "__part"], how).drop("__part")
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(``node``, ``root``) for every node of ``edges`` (``u``, ``v``); ``root`` is the smallest node reachable.
@@ -23,8 +34,12 @@ def components(edges: DataFrame) -> DataFrame:
         hooked = labels.join(around, labels["node"] == around["u"]).select(
             "node", F.col("root").alias("before"), F.least("root", "near").alias("root")
         )
-        names = hooked.select(F.col("node").alias("root"), F.col("root").alias("further"))
-        moved = staged(hooked.join(names, "root").select("node", "before", F.col("further").alias("root")), "labels")
+        # Only roots that name a smaller one: few, once a component has found its own.
+        names = hooked.select("root").distinct()
+        further = hooked.select(F.col("node").alias("root"), F.col("root").alias("further"))
+        names = names.join(further, "root").where("further <> root")
+        moved = staged(by_root(hooked, names, "node", "left").select(
+            "node", "before", F.coalesce("further", "root").alias("root")), "labels")
         labels = moved.select("node", "root")
         if moved.where("before <> root").isEmpty():
             return labels

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import staged
 from .common import batch, ddl, slices
-from .components import components
+from .components import by_root, components
 
 _SEED = 42
 _FINGERPRINT = {"doc_id": pa.int64(), "text_hash": pa.int64(), "fingerprint": pa.int64()}
@@ -233,7 +233,7 @@ def near_duplicates(docs: DataFrame, limit: int = 4, width: int = 4) -> DataFram
     groups = staged(near_groups(marks, limit), "groups")
     least = marks.groupBy("fingerprint").agg(F.min("doc_id").alias("least")).join(groups, "fingerprint")
     named = least.groupBy("root").agg(F.min("least").alias("component_id"))
-    members = groups.join(named, "root").select("fingerprint", "component_id")
+    members = by_root(groups, named, "fingerprint").select("fingerprint", "component_id")
     return marks.join(members, "fingerprint").select(
         "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
     )
