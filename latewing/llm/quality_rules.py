@@ -3,7 +3,7 @@
 Everything is DataFrame expressions. Rows are documents (``doc_id``, ``text``, ``lang``);
 other columns are ignored by ``measure`` and kept by ``keep``. A NULL text
 has no words and fails the base rule, as does an empty one. A NULL language
-is compared with the reference of all NULL languages together. Rows are judged on
+is compared with the reference of all NULL languages together. Texts of any length are read whole. Rows are judged on
 their own, repeated rows alike. No rows give no rows.
 """
 
@@ -24,7 +24,9 @@ COMMON_WORDS, COMMON_LENGTH = 16, 6
 #: Largest Jensen-Shannon distance (base 2) from the reference, for either histogram.
 MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.28, 0.33
 #: Shorter texts are not compared: their histograms are too rough.
-MIN_CLASS_CHARS, MIN_COMPARED_WORDS = 200, 100
+MIN_CLASS_CHARS, MIN_COMPARED_WORDS = 200, 40
+#: Below so many words chance alone moves the word histogram: the bound is then this one times the root of ``STEADY_WORDS / words``.
+STEADY_WORDS, SHORT_WORD_DISTANCE = 100, 0.36
 
 # Character classes, each taken out of what the classes before it left.
 _CLASSES = (r"\p{Ll}", r"\s", r"\p{Lu}", r"[.,;:'\"()?\-]", r"\p{Nd}", r"\p{L}")
@@ -112,13 +114,12 @@ def references(docs: DataFrame) -> DataFrame:
     words = docs.select(lang, F.explode(short_words(F.col("text"))).alias("word"))
     totals = words.groupBy("lang", "word").agg(F.count("*").alias("n"))
     rank = Window.partitionBy("lang").orderBy(F.col("n").desc(), "word")
-    ranked = totals.withColumn("rank", F.row_number().over(rank)).withColumn(
-        "all", F.sum("n").over(Window.partitionBy("lang"))
+    # The window asks for nothing but ranks, so every task sends only its own first words of a language.
+    common = totals.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= COMMON_WORDS).groupBy("lang").agg(
+        F.array_sort(F.collect_list(F.struct("word", "n"))).alias("own")
     )
-    common = ranked.where(F.col("rank") <= COMMON_WORDS).groupBy("lang").agg(
-        F.array_sort(F.collect_list(F.struct("word", "n"))).alias("own"), F.max("all").alias("all")
-    )
-    return classes.join(common, "lang", "left").select(
+    every = totals.groupBy("lang").agg(F.sum("n").alias("all"))
+    return classes.join(common, "lang", "left").join(every, "lang", "left").select(
         "lang",
         "ref_classes",
         F.coalesce(F.col("own.word"), F.array().cast("array<string>")).alias("common"),
@@ -196,8 +197,11 @@ def _verdict() -> list[Column]:
 
 
 def with_verdict(measured: DataFrame) -> DataFrame:
+    """Adds ``kept``. A distance equal to its bound is kept."""
+    short = F.lit(SHORT_WORD_DISTANCE) * F.sqrt(F.lit(float(STEADY_WORDS)) / F.greatest("n_words", F.lit(1)))
+    most = F.when(F.col("n_words") >= STEADY_WORDS, F.lit(MAX_WORD_DISTANCE)).otherwise(short)
     far = (F.coalesce("class_distance", F.lit(0.0)) > MAX_CLASS_DISTANCE) | (
-        F.coalesce("word_distance", F.lit(0.0)) > MAX_WORD_DISTANCE
+        F.coalesce("word_distance", F.lit(0.0)) > most
     )
     return measured.withColumn("kept", ~F.col("base_failed") & ~far)
 

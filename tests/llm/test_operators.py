@@ -2,6 +2,7 @@ import os
 import re
 import subprocess
 import sys
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -20,7 +21,7 @@ from latewing.llm import (
 )
 from latewing.llm import queries as Q
 from latewing.llm.common import table
-from latewing.llm.components import components
+from latewing.llm.components import by_root, components
 
 ROOT = Path(__file__).resolve().parents[2]
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -172,6 +173,23 @@ def test_components_of_a_path(spark):
     assert {tuple(r) for r in components(edges).collect()} == {(i, 0) for i in range(41)} | {(100, 100), (101, 100)}
 
 
+def test_components_of_a_star(spark):
+    star = spark.range(1, 3000).selectExpr("id AS u", "CAST(id % 2 AS bigint) AS v")
+    chain = spark.createDataFrame([(0, 1), (4000, 4001), (4001, 4002)], "u bigint, v bigint")
+    found = Counter(r["root"] for r in components(star.union(chain)).collect())
+    assert found == {0: 3000, 4000: 3}
+
+
+def test_members_of_one_root_are_spread(spark):
+    members = spark.range(1000).selectExpr("id AS node", "CAST(id > 900 AS bigint) AS root")
+    table = spark.createDataFrame([(0, "a"), (2, "c")], "root bigint, name string")
+    assert by_root(members, table, "node").groupBy("name").count().collect() == [("a", 901)]
+    left = by_root(members, table, "node", "left").groupBy("name").count().collect()
+    assert {tuple(r) for r in left} == {("a", 901), (None, 99)}
+    plan = by_root(members.hint("shuffle_merge"), table, "node")._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(root#\d+L, __part#\d+", plan)
+
+
 def test_simhash_edges(spark, edge):
     found = simhash.near_duplicates(edge).collect()
     by = {r["doc_id"]: r for r in found}
@@ -213,6 +231,66 @@ def test_quality_rules(spark, medium, texts, edge):
     assert quality_rules.judge(edge.limit(0)).count() == 0
 
 
+def plain_distance(own, reference):
+    """Jensen-Shannon distance, base 2."""
+    p, q = (np.array(c, float) / max(sum(c), 1) for c in (own, reference))
+    halves = [np.sum(a[a > 0] * np.log2(2 * a[a > 0] / (a + b)[a > 0])) for a, b in ((p, q), (q, p))]
+    return max(sum(halves) / 2, 0.0) ** 0.5
+
+
+def plain_classes(text):
+    found = [0] * 7
+    for c in text:
+        kind = unicodedata.category(c)
+        tests = (kind == "Ll", c in " \t\n\x0b\f\r", kind == "Lu", c in ".,;:'\"()?-", kind == "Nd", kind[0] == "L", True)
+        found[tests.index(True)] += 1
+    return found
+
+
+def test_quality_verdict_equals_plain_counts(spark, small):
+    rows = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "lang", "text").collect()
+    split = {r["doc_id"]: re.findall(r"[^\x20\x09-\x0d]+", r["text"] or "") for r in rows}
+    short = {i: [w for w in (w.lower() for w in words) if len(w) <= quality_rules.COMMON_LENGTH] for i, words in split.items()}
+    classes, words = defaultdict(lambda: np.zeros(7, int)), defaultdict(Counter)
+    for r in rows:
+        classes[r["lang"]] += plain_classes(r["text"] or "")
+        words[r["lang"]].update(short[r["doc_id"]])
+    found = {r["doc_id"]: r for r in Q.op4_quality_rules(spark, small).collect()}
+    rejected = 0
+    for r in rows:
+        own, text = found[r["doc_id"]], r["text"] or ""
+        common = sorted(sorted(words[r["lang"]], key=lambda w: (-words[r["lang"]][w], w.encode()))[: quality_rules.COMMON_WORDS])
+
+        def histogram(counts):
+            hits = [counts[w] for w in common]
+            return [*hits, sum(counts.values()) - sum(hits)]
+
+        far = []
+        if len(text) >= quality_rules.MIN_CLASS_CHARS:
+            far.append(plain_distance(plain_classes(text), classes[r["lang"]]) > quality_rules.MAX_CLASS_DISTANCE)
+        n = len(split[r["doc_id"]])
+        if n >= quality_rules.MIN_COMPARED_WORDS and common:
+            distance = plain_distance(histogram(Counter(short[r["doc_id"]])), histogram(words[r["lang"]]))
+            far.append(distance > (0.33 if n >= 100 else 0.36 * (100 / n) ** 0.5))
+        assert own["kept"] == (not own["base_failed"] and not any(far)), r["doc_id"]
+        rejected += any(far) and not own["base_failed"]
+    assert rejected > 0
+
+
+def test_divergence_rejects_bad_documents(spark, medium):
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{medium}/labels.parquet").collect()}
+    judged = [r for r in Q.op4_quality_rules(spark, medium).collect() if not r["base_failed"]]
+    long = [r for r in judged if labels.get(r["doc_id"]) == 0 and r["n_words"] >= quality_rules.STEADY_WORDS]
+    assert long and not any(r["kept"] for r in long)
+    good = [r for r in judged if labels.get(r["doc_id"]) == 1]
+    assert all(r["kept"] for r in good)
+
+
+def test_common_words_are_limited_in_each_task(spark, edge):
+    plan = quality_rules.references(edge)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
 def test_distance_is_jensen_shannon(spark):
     row = spark.sql("SELECT array(3L, 1L, 0L) AS a, array(0L, 2L, 2L) AS b, array(0L, 0L, 0L) AS z")
     d = row.select(quality_rules._distance(row.a, row.b).alias("d"), quality_rules._distance(row.a, row.a).alias("s")).first()
