@@ -4,7 +4,7 @@ An event leaves its key stuck when its state is open and the key's next event co
 than ``patience`` later, or never. Events are held until the watermark has passed them, so
 the order in which they arrive and the cut into micro-batches change nothing; what comes
 after the watermark is late and is dropped by Spark. A key's state is its newest settled
-event and the events of the lateness window.
+event, the events of the lateness window and one timer.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _EVENT = "at bigint, event_id bigint, state string"
+# Waiting events are kept many to a value: every value that is written or read costs a call.
+_EVENTS, _CHUNK = "at array<bigint>, event_id array<bigint>, state array<string>", 10_000
 
 
 @contextmanager
@@ -33,6 +35,17 @@ def keyed_state(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)
 
 
+def _in_time(event: tuple) -> tuple:
+    """Order of events; as in SQL, those without an id come last among equal times."""
+    at, number, state = event
+    return at, number is None, number or 0, state or ""
+
+
+def _whole(numbers: Sequence) -> list[int | None]:
+    """A pandas column that holds a NULL comes as floats."""
+    return [None if n is None or n != n else int(n) for n in numbers]
+
+
 def settle(
     current: tuple | None, waiting: list[tuple], until: int, patience: int, open_states: frozenset[str]
 ) -> tuple[tuple | None, list[tuple], list[tuple]]:
@@ -42,7 +55,7 @@ def settle(
     event that was reported is marked by a state of None.
     """
     stuck = []
-    ready = sorted(e for e in waiting if e[0] <= until)
+    ready = sorted((e for e in waiting if e[0] <= until), key=_in_time)
     for event in [*ready, None]:
         limit = until if event is None else event[0] - 1
         if current and current[2] in open_states and current[0] + patience <= limit:
@@ -52,8 +65,23 @@ def settle(
     return current, [e for e in waiting if e[0] > until], stuck
 
 
+def next_look(
+    current: tuple | None, waiting: list[tuple], patience: int, open_states: frozenset[str]
+) -> int | None:
+    """Millisecond of the one timer a key in this state needs; None if only its next event can change it.
+
+    That is when its first event to be left stuck by what is known becomes so, and
+    otherwise when nothing waits any more.
+    """
+    known = [*([current] if current else []), *sorted(waiting, key=_in_time)]
+    for event, following in zip(known, [*known[1:], None]):
+        if event[2] in open_states and (following is None or following[0] > event[0] + patience):
+            return (event[0] + patience) // 1000
+    return (known[-1][0] + patience) // 1000 if waiting else None
+
+
 class StuckKeys(StatefulProcessor):
-    """Emits (key, state, event_id, ts, stuck_at); see the module."""
+    """Emits (key, state, event_id, at); see the module."""
 
     def __init__(self, key: str, open_states: Sequence[str], patience: int):
         self.key, self.open_states, self.patience = key, frozenset(open_states), patience
@@ -61,32 +89,42 @@ class StuckKeys(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.current = handle.getValueState("current", _EVENT)
-        self.waiting = handle.getListState("waiting", _EVENT)
+        self.waiting = handle.getListState("waiting", _EVENTS)
+
+    def _keep(self, waiting: list[tuple]) -> None:
+        chunks = (waiting[i : i + _CHUNK] for i in range(0, len(waiting), _CHUNK))
+        self.waiting.put([tuple(map(list, zip(*c))) for c in chunks]) if waiting else self.waiting.clear()
 
     def _settled(self, key, arrived: list[tuple], timers) -> Iterator[pd.DataFrame]:
         # The watermark is in milliseconds; rows up to it are late from now on.
         until = timers.getCurrentWatermarkInMs() * 1000
-        held = [tuple(e) for e in self.waiting.get()] + arrived
-        current = tuple(self.current.get()) if self.current.exists() else None
-        newest, waiting, stuck = settle(current, held, until, self.patience, self.open_states)
+        known = [e for chunk in self.waiting.get() for e in zip(*chunk)]
+        current = self.current.get()
+        current = tuple(current) if current is not None else None
+        timer = next_look(current, known, self.patience, self.open_states)
+        newest, waiting, stuck = settle(current, known + arrived, until, self.patience, self.open_states)
         if newest and newest != current:
             self.current.update(newest)
-        self.waiting.put(waiting) if waiting else self.waiting.clear()
+        if waiting != known:
+            self._keep(waiting)
+        # One timer a key: each costs a call, and many would find nothing to do. A fired one is gone.
+        wanted = next_look(newest, waiting, self.patience, self.open_states)
+        if wanted != timer:
+            if timer is not None and arrived:
+                self.handle.deleteTimer(timer)
+            if wanted is not None:
+                self.handle.registerTimer(wanted)
         if stuck:
-            yield pd.DataFrame({
-                self.key: [key[0]] * len(stuck),
-                "state": [e[2] for e in stuck],
-                "event_id": [e[1] for e in stuck],
-                "ts": [pd.Timestamp(e[0], unit="us") for e in stuck],
-                "stuck_at": [pd.Timestamp(e[0] + self.patience, unit="us") for e in stuck],
-            })
+            at, numbers, states = zip(*stuck)
+            yield pd.DataFrame({self.key: [key[0]] * len(stuck), "state": states, "event_id": numbers, "at": at})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        arrived = [e for frame in rows for e in zip(frame["at"].tolist(), frame["event_id"].tolist(), frame["state"].tolist())]
-        for at, _, _ in arrived:
-            if at > timerValues.getCurrentWatermarkInMs() * 1000:
-                # The millisecond in which a key whose newest event this is becomes stuck.
-                self.handle.registerTimer((at + self.patience) // 1000)
+        arrived = [
+            event
+            for frame in rows
+            for event in zip(_whole(frame["at"].tolist()), _whole(frame["event_id"].tolist()), frame["state"].tolist())
+            if event[0] is not None
+        ]
         yield from self._settled(key, arrived, timerValues)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -104,13 +142,15 @@ def stuck_keys(
     held = events.withWatermark("ts", lateness).select(
         key, "ts", micros.alias("at"), "event_id", F.col("event_type").alias("state")
     )
-    kind = dict(events.dtypes)[key]
-    return held.groupBy(key).transformWithStateInPandas(
-        StuckKeys(key, open_states, patience // timedelta(microseconds=1)),
-        outputStructType=f"{key} {kind}, state string, event_id bigint, ts timestamp, stuck_at timestamp",
+    kind, held_for = dict(events.dtypes)[key], patience // timedelta(microseconds=1)
+    stuck = held.groupBy(key).transformWithStateInPandas(
+        StuckKeys(key, open_states, held_for),
+        outputStructType=f"`{key}` {kind}, state string, event_id bigint, at bigint",
         outputMode="Append",
         timeMode="EventTime",
     )
+    ts, stuck_at = (F.timestamp_micros(F.col("at") + F.lit(more)) for more in (0, held_for))
+    return stuck.select(key, "state", "event_id", ts.alias("ts"), stuck_at.alias("stuck_at"))
 
 
 def stuck_events(events: DataFrame, open_states: Sequence[str], patience: timedelta, until, key: str = "user_id") -> DataFrame:

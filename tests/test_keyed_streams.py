@@ -1,6 +1,7 @@
 import json
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from helpers import DistanceModel, text_rows
 from hypothesis import given, settings, strategies as st
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from latewing.schema import REQUIRED_COLUMNS
 from latewing.streaming import jobs
 from latewing.streaming.progress import ProgressLog, read_progress
-from latewing.streaming.stuck import keyed_state, settle, stuck_events, stuck_keys
+from latewing.streaming.stuck import StuckKeys, keyed_state, settle, stuck_events, stuck_keys
 
 SCHEMA = "user_id bigint, event_id bigint, event_type string, ts timestamp"
 START = datetime(2026, 1, 1)
@@ -43,6 +44,99 @@ def test_settling_step_by_step_equals_one_look(events, steps):
     assert sorted(stuck) == plain_stuck(taken, until, 9)
 
 
+class Held:
+    """State of one key, with its timers, as a stream would hold it."""
+
+    def __init__(self):
+        self.timers, self.calls, self.values = set(), 0, {}
+
+    def getValueState(self, name, schema):
+        return Variable(self.values, name)
+
+    getListState = getValueState
+
+    def registerTimer(self, when):
+        self.calls += 1
+        self.timers.add(when)
+
+    def deleteTimer(self, when):
+        self.timers.remove(when)
+
+
+class Variable:
+    def __init__(self, values, name):
+        self.values, self.name = values, name
+
+    def exists(self):
+        return self.name in self.values
+
+    def get(self):
+        return self.values.get(self.name, None if self.name == "current" else [])
+
+    def update(self, value):
+        self.values[self.name] = value
+
+    put = update
+
+    def clear(self):
+        self.values.pop(self.name, None)
+
+
+class Clock:
+    def __init__(self, watermark):
+        self.watermark = watermark
+
+    def getCurrentWatermarkInMs(self):
+        return self.watermark
+
+
+def micro_batches(held, batches):
+    """Event ids that were reported for (events, watermark) after (events, watermark); a timer fires once the watermark is past it."""
+    found = []
+    for events, watermark in batches:
+        step = StuckKeys("user_id", ["open"], 9_000)
+        step.init(held)
+        frames = [pd.DataFrame(events, columns=["at", "event_id", "state"])] if events else []
+        out = list(step.handleInputRows((1,), iter(frames), Clock(watermark))) if frames else []
+        for when in sorted(t for t in held.timers if t < watermark):
+            out += step.handleExpiredTimer((1,), Clock(watermark), None)
+            held.timers.remove(when)
+        found += [int(e) for frame in out for e in frame["event_id"]]
+    return found
+
+
+def test_a_key_has_one_timer_whatever_its_events():
+    held = Held()
+    events = [(i * 1000, i, "open") for i in range(1, 500)]
+    assert micro_batches(held, [(events, 0)]) == [] and len(held.timers) == 1 == held.calls
+    assert micro_batches(held, [([], 508)]) == [] and len(held.timers) == 1
+    assert micro_batches(held, [([], 509)]) == [499]
+    assert not held.timers
+
+
+@settings(max_examples=300, deadline=None)
+@given(
+    st.lists(st.tuples(st.integers(1, 40), st.integers(0, 5), st.sampled_from(["open", "done"])), unique_by=lambda e: e[:2], max_size=12),
+    st.lists(st.integers(1, 15), max_size=8),
+)
+def test_the_one_timer_finds_what_one_look_finds(events, steps):
+    rest = sorted(((t * 1000, 100 * t + n, s) for t, n, s in events), key=lambda e: (e[0] + 7000 * (e[1] % 100), e))
+    held, found, taken, until = Held(), [], [], 0
+    for step in steps:
+        arrived, rest = [e for e in rest[:3] if e[0] > until * 1000], rest[3:]
+        taken += arrived
+        found += micro_batches(held, [(arrived, until)])
+        assert len(held.timers) <= 1
+        until += step
+    found += micro_batches(held, [([], until), ([], until + 100)])
+    assert sorted(found) == sorted(e[1] for e in plain_stuck(taken, (until + 100) * 1000, 9_000))
+
+
+def test_events_without_id_or_time():
+    events = [(1000, None, "done"), (1000, 3, "open"), (None, 4, "open"), (2000, 5, "open")]
+    assert micro_batches(Held(), [(events, 0), ([], 100)]) == [5]
+
+
 def at(minutes):
     return START + timedelta(minutes=minutes)
 
