@@ -19,7 +19,7 @@ from ..plans.batch_scoring import quarantine
 from ..plans.training import TrainingSettings, train
 from ..schema import PREDICTION, TARGET
 from ..session import staged
-from ..sources.trips import RECORD_KEY, text_trips, trip_facts, trips, with_places
+from ..sources.trips import RECORD_KEY, parts_by_size, text_trips, trip_facts, trips, with_places
 from .quality import _RULES
 from .registry import CLEAN, FACTS, RECORD_ORDER, TEXT, TRIPS, USABLE, clean_view, query
 
@@ -341,8 +341,10 @@ def train_linear(spark, folder):
 )
 def fold_assignment(spark, folder):
     """Every record has one of five folds, of about equal size, whatever the partitioning."""
-    facts = trip_facts(spark, folder)
-    one, other = (df.groupBy(fold_of(RECORD_KEY, 5).alias("fold")).count() for df in (facts, facts.repartition(3, "l_partkey")))
+    facts = trip_facts(spark, folder).select(*RECORD_KEY)
+    # Another partitioning, whose parts grow in number with the records; no part or supplier gathers in one task.
+    dealt = facts.repartition(parts_by_size(facts, least=3), *RECORD_KEY)
+    one, other = (df.groupBy(fold_of(RECORD_KEY, 5).alias("fold")).count() for df in (facts, dealt))
     both = one.join(other.withColumnRenamed("count", "again"), "fold")
     spare = 5 * F.sqrt(F.sum("count"))  # five standard deviations of a fair deal are less
     return both.agg(

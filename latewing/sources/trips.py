@@ -71,10 +71,19 @@ def trip_facts(spark: SparkSession, folder: str) -> DataFrame:
 _BYTES_A_CORE, _WORTH_SPREADING = 128 << 20, 4 << 20
 
 
+def _bytes(df: DataFrame) -> int:
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def parts_by_size(df: DataFrame, least: int = 1) -> int:
+    """Partitions of ``df`` that hold about 32 MiB of its files each."""
+    return max(least, -(-_bytes(df) // (32 << 20)))
+
+
 def spread(df: DataFrame, source: DataFrame, key: Sequence[str] = RECORD_KEY) -> DataFrame:
     """``df`` over all cores, where ``source``, from which it comes, is too small to be read by as many tasks."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    size = _bytes(source)
     held = [c for c in key if c in df.columns]
     return df.repartition(cores, *held) if _WORTH_SPREADING < size < cores * _BYTES_A_CORE else df
 

@@ -304,3 +304,16 @@ def test_more_folds_than_rows_are_refused(spark, small):
     settings = TrainingSettings(RECORD_KEY, folds=10, sample_size=8, exact_quartiles=True)
     with pytest.raises(InputError, match="6 training rows cannot fill 10 folds"):
         train(trips(spark, small), settings)
+
+
+def test_fold_assignment_deals_more_parts_of_more_records(spark, small, monkeypatch):
+    from latewing.sources import trips as source
+
+    def parts():
+        plan = learning.fold_assignment(spark, small)._jdf.queryExecution().optimizedPlan().toString()
+        return [int(line.rpartition(",")[2]) for line in plan.splitlines() if "RepartitionByExpression" in line]
+
+    assert parts() == [3]
+    monkeypatch.setattr(source, "_bytes", lambda df: 1 << 30)
+    assert parts() == [32]
+    assert learning.fold_assignment(spark, small).first()["stable"]
