@@ -13,8 +13,7 @@ from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 from datetime import timedelta
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -41,11 +40,6 @@ def _in_time(event: tuple) -> tuple:
     return at, number is None, number or 0, state or ""
 
 
-def _whole(numbers: Sequence) -> list[int | None]:
-    """A pandas column that holds a NULL comes as floats."""
-    return [None if n is None or n != n else int(n) for n in numbers]
-
-
 def settle(
     current: tuple | None, waiting: list[tuple], until: int, patience: int, open_states: frozenset[str]
 ) -> tuple[tuple | None, list[tuple], list[tuple]]:
@@ -95,7 +89,7 @@ class StuckKeys(StatefulProcessor):
         chunks = (waiting[i : i + _CHUNK] for i in range(0, len(waiting), _CHUNK))
         self.waiting.put([tuple(map(list, zip(*c))) for c in chunks]) if waiting else self.waiting.clear()
 
-    def _settled(self, key, arrived: list[tuple], timers) -> Iterator[pd.DataFrame]:
+    def _settled(self, key, arrived: list[tuple], timers) -> Iterator[Row]:
         # The watermark is in milliseconds; rows up to it are late from now on.
         until = timers.getCurrentWatermarkInMs() * 1000
         known = [e for chunk in self.waiting.get() for e in zip(*chunk)]
@@ -114,20 +108,15 @@ class StuckKeys(StatefulProcessor):
                 self.handle.deleteTimer(timer)
             if wanted is not None:
                 self.handle.registerTimer(wanted)
-        if stuck:
-            at, numbers, states = zip(*stuck)
-            yield pd.DataFrame({self.key: [key[0]] * len(stuck), "state": states, "event_id": numbers, "at": at})
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        arrived = [
-            event
-            for frame in rows
-            for event in zip(_whole(frame["at"].tolist()), _whole(frame["event_id"].tolist()), frame["state"].tolist())
-            if event[0] is not None
-        ]
+        for at, number, state in stuck:
+            yield Row(**{self.key: key[0], "state": state, "event_id": number, "at": at})
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        # Rows, not frames: pandas turns a column that holds a NULL into floats, keys too.
+        arrived = [(r["at"], r["event_id"], r["state"]) for r in rows if r["at"] is not None]
         yield from self._settled(key, arrived, timerValues)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         yield from self._settled(key, [], timerValues)
 
     def close(self) -> None:
@@ -143,7 +132,7 @@ def stuck_keys(
         key, "ts", micros.alias("at"), "event_id", F.col("event_type").alias("state")
     )
     kind, held_for = dict(events.dtypes)[key], patience // timedelta(microseconds=1)
-    stuck = held.groupBy(key).transformWithStateInPandas(
+    stuck = held.groupBy(key).transformWithState(
         StuckKeys(key, open_states, held_for),
         outputStructType=f"`{key}` {kind}, state string, event_id bigint, at bigint",
         outputMode="Append",

@@ -1,11 +1,10 @@
 import json
 from datetime import datetime, timedelta
 
-import pandas as pd
 import pytest
 from helpers import DistanceModel, text_rows
 from hypothesis import given, settings, strategies as st
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 
 from latewing.schema import REQUIRED_COLUMNS
 from latewing.streaming import jobs
@@ -96,12 +95,12 @@ def micro_batches(held, batches):
     for events, watermark in batches:
         step = StuckKeys("user_id", ["open"], 9_000)
         step.init(held)
-        frames = [pd.DataFrame(events, columns=["at", "event_id", "state"])] if events else []
-        out = list(step.handleInputRows((1,), iter(frames), Clock(watermark))) if frames else []
+        rows = [Row(at=a, event_id=e, state=s) for a, e, s in events]
+        out = list(step.handleInputRows((1,), iter(rows), Clock(watermark))) if rows else []
         for when in sorted(t for t in held.timers if t < watermark):
             out += step.handleExpiredTimer((1,), Clock(watermark), None)
             held.timers.remove(when)
-        found += [int(e) for frame in out for e in frame["event_id"]]
+        found += [row["event_id"] for row in out]
     return found
 
 
@@ -173,6 +172,20 @@ def test_stuck_keys_over_several_deliveries(spark, tmp_path):
     assert run(spark, folder) == [(1, 1, 30), (4, 4, 50), (5, 6, 64)]
 
 
+def test_events_without_a_user_are_one_key(spark, tmp_path):
+    folder = str(tmp_path)
+    rows = [(None, 1, "signup", 0), (7, 2, "signup", 0), (None, 3, "done", 20), (8, None, "signup", 1), (7, 4, "done", 90), (9, 5, "signup", None)]
+    table = [(u, e, s, None if m is None else at(m)) for u, e, s, m in rows]
+    spark.createDataFrame(table, SCHEMA).coalesce(1).write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(SCHEMA).parquet(f"{folder}/in")
+    with keyed_state(spark):
+        stuck = stuck_keys(stream, ["signup"], timedelta(minutes=30), "5 minutes")
+        writer = stuck.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state")
+        writer.trigger(availableNow=True).start(f"{folder}/out").awaitTermination(300)
+    found = spark.read.schema(stuck.schema).parquet(f"{folder}/out").collect()
+    assert sorted((r["user_id"], r["event_id"]) for r in found) == [(7, 2), (8, None)]
+
+
 def test_batch_equals_brute_force(spark, small):
     events = spark.read.parquet(f"{small}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     until = datetime(2024, 1, 20)
