@@ -28,8 +28,10 @@ MIN_CLASS_CHARS, MIN_COMPARED_WORDS = 200, 40
 #: Below so many words chance alone moves the word histogram: the bound is then this one times the root of ``STEADY_WORDS / words``.
 STEADY_WORDS, SHORT_WORD_DISTANCE = 100, 0.36
 
-# Character classes, each taken out of what the classes before it left.
-_CLASSES = (r"\p{Ll}", r"\s", r"\p{Lu}", r"[.,;:'\"()?\-]", r"\p{Nd}", r"\p{L}")
+# Character classes after lower-case letters and blanks, each taken out of what the classes before it left.
+_CLASSES = (r"\p{Lu}", r"[.,;:'\"()?\-]", r"\p{Nd}", r"\p{L}")
+# What ``SPACE`` stands for.
+_BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
 
 
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -39,28 +41,51 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def words_of(text: Column) -> Column:
     """Words of a text; an empty array for NULL, empty and blank texts."""
-    trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), f"^[{SPACE}]+|[{SPACE}]+$", "")
+    trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(_BLANKS))
     return bound(trimmed, lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, f"[{SPACE}]+")))
 
 
-def short_words(text: Column) -> Column:
-    """Lower-case words of at most ``COMMON_LENGTH`` code points."""
-    long = f"[^{SPACE}]{{{COMMON_LENGTH + 1},}}"
-    return words_of(F.regexp_replace(F.lower(text), long, ""))
+def is_short(word: Column) -> Column:
+    return F.length(word).between(1, COMMON_LENGTH)
 
 
-def class_counts(text: Column) -> Column:
-    """Characters of each class, and all others last."""
+def short_words(words: Column) -> Column:
+    """Of the words of a text those of at most ``COMMON_LENGTH`` code points in lower case."""
+    return F.filter(F.split(F.lower(F.array_join(words, " ")), " "), is_short)
+
+
+def word_chars(words: Column) -> Column:
+    return F.length(F.array_join(words, "")).cast("bigint")
+
+
+def class_counts(text: Column, word_chars: Column | None = None) -> Column:
+    """Characters of each class, and all others last; see ``_classes``."""
+    return bound(_classes(text, word_chars), lambda c: c["counts"])
+
+
+def _classes(text: Column, word_chars: Column | None = None) -> Column:
+    """``counts``: lower-case letters, blanks, ``_CLASSES`` and all others; ``rest``: the text of those others.
+
+    Matches cost more than characters. Where ``word_chars`` is known, so are the blanks, and
+    letters and blanks are taken out together.
+    """
+
+    def taken(rest: Column, what: str, use: Callable[[Column, Column], Column]) -> Column:
+        less = F.regexp_replace(rest, f"{what}+", "")
+        return bound(less, lambda less: use(less, (F.length(rest) - F.length(less)).cast("bigint")))
 
     def count(rest: Column, classes: tuple[str, ...], found: tuple[Column, ...]) -> Column:
         if not classes:
-            return F.array(*found, F.length(rest).cast("bigint"))
-        return bound(
-            F.regexp_replace(rest, f"{classes[0]}+", ""),
-            lambda less: count(less, classes[1:], (*found, (F.length(rest) - F.length(less)).cast("bigint"))),
-        )
+            return F.struct(F.array(*found, F.length(rest).cast("bigint")).alias("counts"), rest.alias("rest"))
+        return taken(rest, classes[0], lambda less, n: count(less, classes[1:], (*found, n)))
 
-    return bound(F.coalesce(text, F.lit("")), lambda t: count(t, _CLASSES, ()))
+    def first(whole: Column) -> Column:
+        if word_chars is None:
+            return count(whole, (r"\p{Ll}", r"\s", *_CLASSES), ())
+        blanks = F.length(whole).cast("bigint") - word_chars
+        return taken(whole, r"[\p{Ll}\s]", lambda less, n: count(less, _CLASSES, (n - blanks, blanks)))
+
+    return bound(F.coalesce(text, F.lit("")), first)
 
 
 def _doubled(marks: Column, span: int) -> Column:
@@ -75,8 +100,9 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
 
     def covered(marks: Column) -> Column:
         """Windows sorted by hash: equal neighbours are repeated; then the union of their spans."""
-        ordered = F.array_sort(F.transform(marks, lambda h, at: F.struct(h.alias("h"), at.alias("at"))))
-        places = bound(ordered, lambda o: F.array_sort(F.transform(
+        # sort_array and not array_sort, which would call a lambda for every comparison.
+        ordered = F.sort_array(F.transform(marks, lambda h, at: F.struct(h.alias("h"), at.alias("at"))))
+        places = bound(ordered, lambda o: F.sort_array(F.transform(
             F.filter(o, lambda w, i: (F.get(o, i - 1)["h"] == w["h"]) | (F.get(o, i + 1)["h"] == w["h"])),
             lambda w: w["at"],
         )))
@@ -85,11 +111,20 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
             zero, lambda total, span: total + span,
         ))
 
+    def unless_distinct(marks: Column, span: int, value: Callable[[Column], Column]) -> Column:
+        """Zero, if no window of ``span`` words occurs twice."""
+        whole = F.slice(marks, 1, F.greatest(F.size(marks) - (span - 1), F.lit(0)))
+        return bound(whole, lambda m: F.when(F.size(F.array_distinct(m)) == F.size(m), zero).otherwise(value(m)))
+
     marks, span = F.transform(words, lambda w: F.xxhash64(w)), 1
-    while span < window:
+    while 2 * span < window:
         marks, span = _doubled(marks, span), 2 * span
-    marks = bound(marks, lambda m: F.slice(m, 1, F.greatest(F.size(m) - (window - 1), F.lit(0))))
-    value = bound(marks, lambda m: F.when(F.size(F.array_distinct(m)) == F.size(m), zero).otherwise(covered(m)))
+    if span < window:
+        # Few texts repeat half a window; only theirs are hashed to the end.
+        value = bound(marks, lambda half: unless_distinct(half, span, lambda _: bound(
+            _doubled(half, span), lambda full: unless_distinct(full, 2 * span, covered))))
+    else:
+        value = bound(marks, lambda full: unless_distinct(full, span, covered))
     return F.when(F.size(words) <= window, zero).otherwise(value)
 
 
@@ -111,7 +146,7 @@ def references(docs: DataFrame) -> DataFrame:
     classes = classes.groupBy("lang").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("class", "chars"))), lambda c: c["chars"]).alias("ref_classes")
     )
-    words = docs.select(lang, F.explode(short_words(F.col("text"))).alias("word"))
+    words = docs.select(lang, F.explode(words_of(F.lower("text"))).alias("word")).where(is_short(F.col("word")))
     totals = words.groupBy("lang", "word").agg(F.count("*").alias("n"))
     rank = Window.partitionBy("lang").orderBy(F.col("n").desc(), "word")
     # The window asks for nothing but ranks, so every task sends only its own first words of a language.
@@ -153,15 +188,16 @@ def _histogram(short: Column) -> Column:
 
 
 def measures(text: Column) -> Column:
-    """The base counts, and the histogram of short words, of one text; reads the reference's columns."""
+    """The base counts, and the histograms of classes and short words, of one text; reads the reference's columns."""
 
     def rest(words: Column) -> Column:
-        return F.struct(
+        return bound(word_chars(words), lambda chars: F.struct(
             F.size(words).cast("bigint").alias("n_words"),
-            F.aggregate(words, F.lit(0).cast("bigint"), lambda a, w: a + F.length(w)).alias("word_chars"),
+            chars.alias("word_chars"),
             repeated_words(words).alias("n_repeat_words"),
-            bound(short_words(text), _histogram).alias("word_hist"),
-        )
+            bound(short_words(words), _histogram).alias("word_hist"),
+            _classes(text, chars).alias("classes"),
+        ))
 
     return bound(words_of(text), rest)
 
@@ -175,17 +211,18 @@ def measure(docs: DataFrame, reference: DataFrame | None = None) -> DataFrame:
 
 def _verdict() -> list[Column]:
     text = F.col("text")
-    judged = bound(F.struct(measures(text).alias("m"), class_counts(text).alias("classes")), lambda s: bound(
+    judged = bound(measures(text), lambda m: bound(
         F.struct(
-            s["m"]["n_words"].alias("n_words"),
-            s["m"]["word_chars"].alias("word_chars"),
-            F.length(F.regexp_replace(F.coalesce(text, F.lit("")), "[^#*$%&|<>]+", "")).cast("bigint").alias("n_symbols"),
+            m["n_words"].alias("n_words"),
+            m["word_chars"].alias("word_chars"),
+            # No class but that of all others holds a symbol.
+            F.length(F.regexp_replace(m["classes"]["rest"], "[^#*$%&|<>]+", "")).cast("bigint").alias("n_symbols"),
             repeated_lines(text).alias("n_dup_lines"),
-            s["m"]["n_repeat_words"].alias("n_repeat_words"),
-            F.when(F.length(text) >= MIN_CLASS_CHARS, _distance(s["classes"], F.col("ref_classes"))).alias("class_distance"),
+            m["n_repeat_words"].alias("n_repeat_words"),
+            F.when(F.length(text) >= MIN_CLASS_CHARS, _distance(m["classes"]["counts"], F.col("ref_classes"))).alias("class_distance"),
             F.when(
-                (s["m"]["n_words"] >= MIN_COMPARED_WORDS) & (F.size("common") > 0),
-                _distance(s["m"]["word_hist"], F.concat("ref_words", F.array(
+                (m["n_words"] >= MIN_COMPARED_WORDS) & (F.size("common") > 0),
+                _distance(m["word_hist"], F.concat("ref_words", F.array(
                     F.col("all_words") - F.aggregate("ref_words", F.lit(0).cast("bigint"), lambda a, n: a + n)))),
             ).alias("word_distance"),
         ),

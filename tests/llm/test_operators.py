@@ -13,6 +13,7 @@ import public_tokenizers
 import pytest
 import sentencepiece
 import xxhash
+from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 from tokenizers import Tokenizer
 
@@ -217,6 +218,33 @@ def plain_counts(text):
             len(covered), len(words) < 20 or 100 * len(covered) > 30 * len(words))
 
 
+def test_quality_rules_count_as_much_with_less(spark):
+    """Blanks are known by the words, symbols are looked for in what no class took, and few texts are hashed to the end."""
+    texts = [
+        "", " \t\n", "One two, three\r\nfour #5 <six> \u0130\u03a3\u03a3 \u03a3. \x1c \x85 \u00a0 \u0663 \u02b0",
+        "a b c d e f g h i " * 3, "a b c d x a b c d y", "p q r s t u v w p q r s t u v w", None,
+    ]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    words, text = quality_rules.words_of(F.col("text")), F.col("text")
+    found = rows.select("text", quality_rules.class_counts(text).alias("all"), *(
+        quality_rules.bound(words, use).alias(name) for name, use in {
+            "known": lambda w: quality_rules.class_counts(text, quality_rules.word_chars(w)),
+            "short": lambda w: quality_rules.short_words(w),
+            "repeated": lambda w: quality_rules.repeated_words(w),
+        }.items()
+    )).collect()
+    for r in found:
+        own = [w for w in re.split(r"[\x20\x09-\x0d]+", r["text"] or "") if w]
+        windows = [tuple(own[i : i + 8]) for i in range(len(own) - 7)]
+        held = {i + k for i, w in enumerate(windows) if windows.count(w) > 1 for k in range(8)}
+        assert r["known"] == r["all"] and sum(r["all"]) == len(r["text"] or "")
+        assert r["short"] == [w.lower() for w in own if len(w.lower()) <= quality_rules.COMMON_LENGTH]
+        assert r["repeated"] == len(held)
+    measured = quality_rules.measure(rows.withColumn("lang", F.lit("en")))
+    plan = measured._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") <= 6  # one for letters and blanks, four for the other classes, one for symbols
+
+
 def test_quality_rules(spark, medium, texts, edge):
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     found = {r["doc_id"]: r for r in Q.op4_quality_rules(spark, medium).collect()}
