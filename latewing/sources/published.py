@@ -19,7 +19,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from datetime import datetime, timedelta, timezone
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, types as T
 
 from .sinks import export_csv
 
@@ -32,6 +32,19 @@ class Export:
     order: Sequence[str]
 
 
+@dataclass(frozen=True)
+class Divided:
+    """Outputs that are parts of one frame, written in one pass over it.
+
+    ``place`` names the output that a row goes to; ``outputs`` has the columns of each. The files hold
+    the other outputs' columns too, but readers get the named ones.
+    """
+
+    frame: DataFrame
+    place: Column
+    outputs: dict[str, Sequence[str]]
+
+
 class _Files:
     """Hadoop's view of the store that ``root`` lies in."""
 
@@ -57,6 +70,13 @@ class _Files:
     def rename(self, old, new) -> None:
         self.context.rename(self.store.makeQualified(old), self.store.makeQualified(new), self._one)
 
+    def moved(self, old: str, new: str) -> None:
+        """The folder ``old`` under the name ``new``; an empty folder where there is none."""
+        source, target = self.path(old), self.path(new)
+        self.store.mkdirs(target.getParent() if self.store.exists(source) else target)
+        if self.store.exists(source):
+            self.rename(source, target)
+
     def delete(self, name: str) -> None:
         self.store.delete(self.path(name), True)
 
@@ -64,6 +84,10 @@ class _Files:
         return list(self.store.globStatus(self.path(pattern)) or [])
 
 
+#: Where ``Divided`` outputs are before they go to their own folders, and the column that divides them.
+_WHOLE, _PLACE = "_whole", "__place"
+
+
 def _pointers(spark: SparkSession, root: str) -> list[dict]:
     """One small file for each run."""
     if not _Files(spark, root).listed(f"{root}/runs/*.json"):
@@ -74,7 +98,7 @@ def _pointers(spark: SparkSession, root: str) -> list[dict]:
 
 def publish(
     root: str,
-    outputs: dict[str, DataFrame | Export],
+    outputs: dict[str, DataFrame | Export] | Divided,
     run: str,
     key: str = "run_id",
     check: Callable[[], dict | None] | None = None,
@@ -86,21 +110,31 @@ def publish(
     """
     if not re.fullmatch(r"[\w.-]+", run):
         raise ValueError(f"A run's name is letters, digits, '_', '.' and '-', not {run!r}.")
+    divided = outputs if isinstance(outputs, Divided) else None
+    if divided:
+        outputs = {name: divided.frame.select(*(f"`{c}`" for c in columns)) for name, columns in divided.outputs.items()}
     frames = {name: o.frame if isinstance(o, Export) else o for name, o in outputs.items()}
     for df in frames.values():
         if clash := {key.lower(), "_version"} & {c.lower() for c in df.columns}:
             raise ValueError(f"The input has a column {min(clash)!r}; rename it before publishing.")
     spark = next(iter(frames.values())).sparkSession
     files, version, stored, record = _Files(spark, root), uuid.uuid4().hex, {}, None
+    whole = f"{root}/data/{_WHOLE}/{key}={run}/_version={version}"
     try:
+        if divided:
+            divided.frame.withColumn(_PLACE, divided.place).write.partitionBy(_PLACE).parquet(whole)
         for name, output in outputs.items():
             folder = f"{root}/data/{name}/{key}={run}/_version={version}"
             stored[name] = {"path": folder[len(root) + 1 :], "schema": frames[name].schema.jsonValue()}
             if isinstance(output, Export):
                 export_csv(output.frame, folder, order=output.order)
             else:
-                output.write.parquet(folder)
+                files.moved(f"{whole}/{_PLACE}={name}", folder) if divided else output.write.parquet(folder)
                 stored[name]["rows"] = spark.read.schema(output.schema).parquet(folder).count()
+        if divided:
+            if left := files.listed(f"{whole}/{_PLACE}=*"):
+                raise ValueError(f"Rows have no output: {left[0].getPath().getName()}.")
+            files.delete(whole)
         facts = check() if check else None
         record = {
             "run": run, "key": key, "version": version, "outputs": stored, "facts": facts or {},
@@ -112,6 +146,8 @@ def publish(
         if version not in (p["version"] for p in _pointers(spark, root)):
             for output in stored.values():
                 files.delete(f"{root}/{output['path']}")
+            if divided:
+                files.delete(whole)
         raise
     return record
 

@@ -11,7 +11,7 @@ from ..operators import quality as Q
 from ..operators.scoring import score_text
 from ..plans.batch_scoring import with_reasons
 from ..schema import DATE, PREDICTION, REQUIRED_COLUMNS
-from ..sources.published import publish
+from ..sources.published import Divided, publish
 from .progress import COUNTS
 
 
@@ -35,15 +35,14 @@ def start_scoring(records: DataFrame, model, folder: str, checkpoint: str, **tri
         COUNTS, F.count_if(~broken).alias("scored"), F.count_if(broken).alias("quarantined")
     )
 
+    text = list(records.columns)
+
     def handle(batch: DataFrame, number: int) -> None:
-        # Two sinks read the micro-batch; its size is bounded by the source options.
-        batch.persist()
-        try:
-            run = f"{number:012d}"
-            scored, bad = score_text(Q.good_rows(batch), model), with_reasons(Q.bad_rows(batch))
-            publish(folder, {"scored": scored, "quarantine": bad}, run, "batch_id")
-        finally:
-            batch.unpersist()
+        # One pass over the micro-batch writes both tables, so nothing of it is kept in between.
+        whole = with_reasons(score_text(batch, model, fit=F.size(Q.BROKEN) == 0))
+        place = F.when(F.col(Q.BROKEN) == "", "scored").otherwise("quarantine")
+        tables = {"scored": [*text, PREDICTION], "quarantine": [*text, Q.BROKEN]}
+        publish(folder, Divided(whole, place, tables), f"{number:012d}", "batch_id")
 
     return (
         marked.writeStream.foreachBatch(handle)

@@ -118,3 +118,14 @@ def test_folds_do_not_depend_on_partitioning(spark):
     assert len(sizes) == 5 and min(sizes) > 300
     with pytest.raises(ValueError):
         fold_of(["id"], 1)
+
+
+def test_whole_numbers_are_read_like_any_decimal_text(spark):
+    from latewing.functions.numbers import _DECIMAL_TEXT, decimal_number
+
+    texts = ["0630", "007", "9007199254740993", "99999999999999999999", "-5", "+5", " 5", "5 ", "5\x00", "\x005", "1d", "0x1F",
+             "5.", ".5", "1e3", "1_0", "٥", "5٥", "5\n", "", "0", "-0", "9" * 400, None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    shape = F.regexp_extract("t", _DECIMAL_TEXT, 0).try_cast("double")
+    for row in df.select("t", decimal_number(F.col("t")).alias("got"), shape.alias("wanted")).collect():
+        assert row["got"] == row["wanted"], row

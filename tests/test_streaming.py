@@ -100,3 +100,59 @@ def test_repeats_are_dropped(spark, events):
     twice = stream.unionByName(stream)
     got = run_to_memory(spark, jobs.without_repeats(twice, "60 days").select("event_id"), "once", "append")
     assert got.count() == batch.count()
+
+
+def test_a_micro_batch_is_read_once_and_bad_rows_reach_no_model(spark, tmp_path):
+    class PickyModel:
+        """Refuses what no good row holds."""
+
+        def predict(self, frame):
+            assert str(frame["month"].dtype) == "int32" and list(frame.index) == list(range(len(frame)))
+            assert (frame["DISTANCE"] >= 500).all() and not (frame["ORIGIN"].str.strip() == "").any()
+            return frame["DISTANCE"] / 100
+
+    rows = text_rows(40)
+    for i, change in enumerate(
+        ({"FL_DATE": None}, {"DISTANCE": "-10"}, {"ORIGIN": "  "}, {"CRS_DEP_TIME": "2575"}, {"CRS_ARR_TIME": "1d"})
+    ):
+        rows[i * 7].update(change)
+    drop(tmp_path / "in", "0.json", rows)
+    drop(tmp_path / "in", "1.json", [rows[0]])  # a batch of broken rows only
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(value):
+        read.add(1)
+        return value
+
+    stream = jobs.record_stream(spark, str(tmp_path / "in"), files_per_batch=1)
+    once = F.udf(counted, "string").asNondeterministic()
+    stream = stream.withColumn("CRS_ELAPSED_TIME", once("CRS_ELAPSED_TIME"))
+    out = str(tmp_path / "out")
+    query = jobs.start_scoring(stream, PickyModel, out, str(tmp_path / "state"), availableNow=True)
+    query.awaitTermination(300)
+    assert query.exception() is None and read.value == 41
+    assert not spark._jsc.sc().getPersistentRDDs().size()
+    scored, bad = published(spark, out, "scored"), published(spark, out, "quarantine")
+    assert scored.columns == [*REQUIRED_COLUMNS, PREDICTION, "batch_id"] and scored.count() == 35
+    assert bad.columns == [*REQUIRED_COLUMNS, "broken_rules", "batch_id"]
+    expected = ["CRS_ARR_TIME_numeric", "CRS_DEP_TIME_clock", "DISTANCE_negative", "FL_DATE_date", "FL_DATE_date", "ORIGIN_blank"]
+    assert sorted(r["broken_rules"] for r in bad.collect()) == expected
+
+
+def test_a_stream_scored_by_a_fitted_model(spark, tmp_path):
+    from pyspark.ml.regression import LinearRegression
+
+    from latewing.operators import modeling
+
+    rows = text_rows(20)
+    rows[3]["CRS_DEP_TIME"] = "oops"
+    drop(tmp_path / "in", "0.json", rows)
+    known = spark.createDataFrame([(float(i * 10), float(i)) for i in range(90)], "DISTANCE double, ARR_DELAY double")
+    line = LinearRegression(featuresCol=modeling.FEATURES, labelCol="ARR_DELAY", predictionCol=modeling.RAW_PREDICTION)
+    model = modeling.DelayModel(modeling.fit(known, modeling.encoded_preprocessor(["DISTANCE"]), line))
+    out = str(tmp_path / "out")
+    stream = jobs.record_stream(spark, str(tmp_path / "in"))
+    jobs.start_scoring(stream, model, out, str(tmp_path / "state"), availableNow=True).awaitTermination(300)
+    got = {r["DISTANCE"]: r[PREDICTION] for r in published(spark, out, "scored").collect()}
+    assert got == {r["DISTANCE"]: pytest.approx(float(r["DISTANCE"]) / 10, abs=0.011) for i, r in enumerate(rows) if i != 3}
+    assert [r["broken_rules"] for r in published(spark, out, "quarantine").collect()] == ["CRS_DEP_TIME_numeric"]
