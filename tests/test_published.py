@@ -140,3 +140,22 @@ def test_the_input_is_read_once(spark, tmp_path):
         reader.csv, reader.text = original, text
     # The header's look at the first line (twice: the check of the file, the schema), and one scan.
     assert len(opened) == 3 and not any(a[0] == "text" for a in opened)
+
+
+def test_divided_outputs_go_to_their_own_folders(spark, tmp_path, rows):
+    root = str(tmp_path / "out")
+    both = rows.selectExpr("x AS k", "x * 2 AS x", "'a' AS `z.z`")
+    parts = {"one": ["k", "z.z"], "two": ["x"], "none": ["k"]}
+    for _ in range(2):
+        place = F.when(F.col("k") == 1, "one").otherwise("two")
+        record = P.publish(root, P.Divided(both, place, parts), "r1")
+    assert {n: o["rows"] for n, o in record["outputs"].items()} == {"one": 1, "two": 1, "none": 0}
+    P.publish(root, {"two": rows}, "r2")  # written on its own, read together
+    assert [tuple(r) for r in P.published(spark, root, "one").collect()] == [(1, "a", "r1")]
+    assert seen(spark, root, "two") == [("r1", 4), ("r2", 1), ("r2", 2)]
+    assert P.published(spark, root, "none").count() == 0
+    assert P.sweep(spark, root, SOON) > 0 and seen(spark, root, "two") == [("r1", 4), ("r2", 1), ("r2", 2)]
+    with pytest.raises(ValueError, match="no output: __place=else"):
+        P.publish(root, P.Divided(both, F.lit("else"), parts), "r1")
+    assert seen(spark, root, "two") == [("r1", 4), ("r2", 1), ("r2", 2)]
+    assert len(list((tmp_path / "out" / "data").glob("*/*/_version=*"))) == 4
