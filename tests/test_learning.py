@@ -317,3 +317,46 @@ def test_fold_assignment_deals_more_parts_of_more_records(spark, small, monkeypa
     monkeypatch.setattr(source, "_bytes", lambda df: 1 << 30)
     assert parts() == [32]
     assert learning.fold_assignment(spark, small).first()["stable"]
+
+
+def test_models_share_one_vector(spark, small):
+    result = train(trips(spark, small), TrainingSettings(RECORD_KEY, rounds=2, depth=2, min_rows=20))
+    plan = result.predictions._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("UDF(struct(CRS_ELAPSED_TIME") == 1  # the assembler; both models read what it makes
+    features = with_features(trips(spark, small)).select(*RECORD_KEY, *(c for c in MODEL_FEATURES if c not in RECORD_KEY))
+    got = result.predictions.withColumnRenamed(PREDICTION, "shared")
+    for name, model in result.models.items():
+        both = got.where(F.col("model") == name).join(model.transform(features), list(RECORD_KEY))
+        assert both.where(~F.col("shared").eqNullSafe(F.col(PREDICTION))).isEmpty() and not both.isEmpty()
+    result.close()
+
+
+@pytest.mark.parametrize("encoder", ["target", "onehot"])
+def test_estimators_read_stored_vectors(spark, small, monkeypatch, encoder):
+    from latewing.operators import modeling
+
+    seen, made = [], modeling.vectors
+
+    def kept(*given):
+        prepared, stored = made(*given)
+        seen.append((given[0], prepared, stored))
+        return prepared, stored
+
+    monkeypatch.setattr(modeling, "vectors", kept)
+    train(trips(spark, small), TrainingSettings(RECORD_KEY, encoder=encoder, rounds=2, depth=2, min_rows=20))
+    [(rows, prepared, stored)] = seen
+    assert stored.columns == [TARGET, "validation", modeling.FEATURES] and stored.count() == rows.count()
+    assert "UDF" not in stored._jdf.queryExecution().optimizedPlan().toString()
+    fresh = rows
+    for stage in prepared:
+        fresh = stage.transform(fresh)
+    fresh = fresh.select(*stored.columns)
+    assert fresh.exceptAll(stored).isEmpty()
+    # What a slot is, a number or a category, is told by the column's metadata.
+    assert stored.schema[modeling.FEATURES].metadata == fresh.schema[modeling.FEATURES].metadata != {}
+
+
+def test_mean_of_the_other_folds_is_worked_out_once(categories):
+    _, df = categories
+    plan = E.TargetEncoder(["a", "b"]).fit_out_of_fold(df, "y", "fold")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("CASE WHEN (fold") == 5  # one for each fold, whatever the number of encoded columns
