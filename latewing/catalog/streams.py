@@ -7,12 +7,12 @@ from datetime import timedelta
 from pyspark.sql import Window, functions as F
 
 from ..schema import DATE, PREDICTION, REQUIRED_COLUMNS
-from ..session import new_folder
-from ..sources.published import publish, published
+from ..session import free_shuffles, new_folder
+from ..sources.published import _Files, publish, published
 from ..sources.trips import table, text_trips, trip_facts, trips
 from ..streaming import jobs
 from ..streaming.progress import ProgressLog, read_progress
-from ..streaming.stuck import keyed_state, stuck_keys
+from ..streaming.stuck import MANY_KEYS, keyed_state, stuck_keys
 from .learning import _GOOD, DistanceModel
 from .registry import FACTS, TEXT, query
 
@@ -120,13 +120,19 @@ def stream_progress(spark, folder):
         *REQUIRED_COLUMNS, "arrived", F.concat_ws("-", *_RECORD).alias("record"), "l_orderkey"
     )
     deliveries = [records.where(order % 5 != 0), records.where((order % 5 == 0) | (order % 25 == 1))]
-    with ProgressLog(spark, log) as progress:
+    # As plain text a delivery is 15 times as large as the tables. Packed files cannot be split, so none may be large.
+    packed = {"compression": "gzip", "zlib.compress.level": "BEST_SPEED", "maxRecordsPerFile": 500_000}
+    with ProgressLog(spark, log) as progress, keyed_state(spark, MANY_KEYS):
         for rows in deliveries:
-            rows.drop("l_orderkey").write.mode("append").json(arriving)
+            rows.drop("l_orderkey").write.mode("append").options(**packed).json(arriving)
+            free_shuffles(spark)
             schema = rows.drop("l_orderkey").schema
             stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 100_000).json(arriving)
             once = jobs.without_repeats(stream, "365 days", "arrived", ["record"]).select(*REQUIRED_COLUMNS)
             progress.finish(jobs.start_scoring(once, DistanceModel, out, state, availableNow=True))
+            # A delivery that was taken in whole is not read again.
+            _Files(spark, arriving).delete(arriving)
+            free_shuffles(spark)
     found = read_progress(spark, log)
     told = F.col("scored") + F.col("quarantined") + F.col("late") + F.col("repeated") == F.col("rows_in")
     part = F.row_number().over(Window.partitionBy("query").orderBy("batch"))  # one row for each micro-batch

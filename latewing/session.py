@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -115,3 +116,13 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     folder = new_folder(spark, label)
     df.write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of jobs that nobody refers to any more.
+
+    It does so when the driver collects garbage, for which a driver with much memory and little to do may
+    not see a reason in hours, while the files of every finished job stay on the executors' disks.
+    """
+    gc.collect()
+    spark._jvm.System.gc()

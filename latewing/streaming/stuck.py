@@ -23,15 +23,25 @@ _EVENT = "at bigint, event_id bigint, state string"
 _EVENTS, _CHUNK = "at array<bigint>, event_id array<bigint>, state array<string>", 10_000
 
 
+#: Many keys: native memory has one limit an executor, and a key that is put is not looked up to be counted.
+MANY_KEYS = {"boundedMemoryUsage": "true", "trackTotalNumberOfRows": "false", "compression": "zstd"}
+
+
 @contextmanager
-def keyed_state(spark: SparkSession) -> Iterator[None]:
-    """Streams started inside keep state of any kind by key, with timers; that needs the RocksDB store."""
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, _ROCKSDB)
+def keyed_state(spark: SparkSession, settings: dict[str, str] | None = None) -> Iterator[None]:
+    """Streams started inside keep state of any kind by key, with timers; that needs the RocksDB store.
+
+    Its state is on disk: the default store has all keys on the heap of the executors. ``settings`` are its own.
+    """
+    wanted = {_PROVIDER: _ROCKSDB} | {f"spark.sql.streaming.stateStore.rocksdb.{k}": v for k, v in (settings or {}).items()}
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def _in_time(event: tuple) -> tuple:

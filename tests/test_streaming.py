@@ -1,4 +1,6 @@
+import glob
 import json
+import time
 
 import pytest
 from helpers import DistanceModel, text_frame, text_rows
@@ -6,6 +8,7 @@ from helpers import DistanceModel, text_frame, text_rows
 from latewing.operators import rollups as R
 from latewing.operators.scoring import score_text
 from latewing.schema import PREDICTION, REQUIRED_COLUMNS
+from latewing.session import free_shuffles
 from latewing.sources.published import published
 from latewing.streaming import jobs
 from pyspark.sql import functions as F
@@ -160,3 +163,67 @@ def test_a_stream_scored_by_a_fitted_model(spark, tmp_path):
     got = {r["DISTANCE"]: r[PREDICTION] for r in published(spark, out, "scored").collect()}
     assert got == {r["DISTANCE"]: pytest.approx(float(r["DISTANCE"]) / 10, abs=0.011) for i, r in enumerate(rows) if i != 3}
     assert [r["broken_rules"] for r in published(spark, out, "quarantine").collect()] == ["CRS_DEP_TIME_numeric"]
+
+
+def _tables(spark, folder, orders=400):
+    """A few hundred records of the five tables that trips are made of."""
+    day = F.date_add(F.lit("1994-01-01").cast("date"), (F.col("id") * 7 % 2000).cast("int"))
+    records = spark.range(orders).select(
+        F.col("id").alias("l_orderkey"), F.lit(1).alias("l_linenumber"), (F.col("id") % 90).alias("l_partkey"),
+        (F.col("id") % 10).alias("l_suppkey"), (F.col("id") % 50 + 1).cast("double").alias("l_quantity"), day.alias("l_shipdate"),
+    )
+    frames = {
+        "lineitem": records,
+        "orders": spark.range(orders).select(F.col("id").alias("o_orderkey"), (F.col("id") % 20).alias("o_custkey")),
+        "customer": spark.range(20).select(F.col("id").alias("c_custkey"), (F.col("id") % 3).alias("c_nationkey")),
+        "supplier": spark.range(10).select(F.col("id").alias("s_suppkey"), (F.col("id") % 3).alias("s_nationkey")),
+        "nation": spark.createDataFrame([(0, "PERU"), (1, "CHINA"), (2, "KENYA")], "n_nationkey bigint, n_name string"),
+    }
+    for name, frame in frames.items():
+        frame.write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def test_the_progress_query_keeps_little_on_disk(spark, tmp_path, monkeypatch):
+    """Deliveries are packed and go when they were taken in, shuffles are freed, and the keys are not on the heap."""
+    from latewing.catalog import streams
+
+    folder, folders, arrived, kept = _tables(spark, tmp_path / "tables"), {}, [], []
+    make, start = streams.new_folder, jobs.start_scoring
+    monkeypatch.setattr(streams, "new_folder", lambda spark, name: folders.setdefault(name, make(spark, name)))
+
+    def started(records, *rest, **more):
+        files = glob.glob(f"{folders['arriving'].removeprefix('file:')}/part-*")
+        arrived.append(files)
+        assert files and all(f.endswith(".json.gz") for f in files)
+        kept.append(spark.conf.get("spark.sql.streaming.stateStore.providerClass", ""))
+        return start(records, *rest, **more)
+
+    monkeypatch.setattr(jobs, "start_scoring", started)
+    rows = {r["part"]: r.asDict() for r in streams.stream_progress(spark, folder).collect()}
+    assert len(arrived) == 2 and not {*arrived[0]} & {*arrived[1]}
+    assert not glob.glob(f"{folders['arriving'].removeprefix('file:')}/part-*")
+    assert all("RocksDB" in name for name in kept)
+    assert "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass", "")
+    # Of 400 orders 320 come first; then the other 80, and 16 of the first again.
+    assert rows[1]["rows_in"] == rows[1]["scored"] + rows[1]["quarantined"] == 320 and rows[1]["quarantined"] > 0
+    assert rows[2]["rows_in"] == 96 and rows[2]["late"] > 0 and rows[2]["repeated"] > 0
+    assert all(r["all_told"] for r in rows.values())
+
+
+def test_shuffles_of_finished_jobs_are_freed(spark):
+    tracked = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses()
+
+    def shuffles():
+        return set(filter(None, tracked.keys().mkString(",").split(",")))
+
+    before = shuffles()
+    spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count().write.format("noop").mode("overwrite").save()
+    made = shuffles() - before
+    assert made
+    for _ in range(20):
+        free_shuffles(spark)
+        if not made & shuffles():
+            return
+        time.sleep(0.5)
+    raise AssertionError("the shuffle is still there")
