@@ -6,6 +6,7 @@ import pytest
 from helpers import DistanceModel, text_frame, text_rows
 
 from latewing.catalog import learning
+from latewing.operators import boosting, modeling
 from latewing.operators import encoding as E
 from latewing.operators import metrics as M
 from latewing.operators import split as S
@@ -16,6 +17,9 @@ from latewing.plans.training import TrainingSettings, train
 from latewing.schema import MODEL_FEATURES, PREDICTION, TARGET, InputError
 from latewing.sources.trips import RECORD_KEY, trips
 from pyspark.ml import Pipeline
+from pyspark.ml.feature import OneHotEncoder
+from pyspark.ml.linalg import Vectors
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
 
@@ -360,3 +364,64 @@ def test_mean_of_the_other_folds_is_worked_out_once(categories):
     _, df = categories
     plan = E.TargetEncoder(["a", "b"]).fit_out_of_fold(df, "y", "fold")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("CASE WHEN (fold") == 5  # one for each fold, whatever the number of encoded columns
+
+
+@pytest.fixture(scope="module")
+def bent(spark):
+    """Rows with a bend, a step and an interaction; every tenth is a late one."""
+    rng = np.random.default_rng(3)
+    wide = np.c_[rng.normal(size=3000), rng.integers(0, 5, 3000), rng.uniform(-3, 3, 3000).round(1), rng.integers(0, 2, 3000), np.zeros(3000)]
+    y = np.sin(wide[:, 0]) * 3 + wide[:, 1] + wide[:, 2] * wide[:, 3] + rng.normal(size=3000)
+    rows = [(Vectors.dense([float(v) for v in x]), float(t), i % 10 == 0) for i, (x, t) in enumerate(zip(wide, y, strict=True))]
+    return spark.createDataFrame(rows, ["x", "y", "late"]).repartition(3).cache()
+
+
+def test_trees_on_packed_bins_are_those_of_mllib(spark, bent, monkeypatch):
+    monkeypatch.setattr(boosting, "_BLOCK", 400)
+    same = {"featuresCol": "x", "labelCol": "y", "maxDepth": 4, "minInstancesPerNode": 20, "seed": 42, "checkpointInterval": 2}
+    for more in ({"maxIter": 3}, {"maxIter": 40, "stepSize": 0.5, "validationIndicatorCol": "late", "validationTol": 0.0}):
+        theirs = GBTRegressor(**same, **more).fit(bent)
+        with monkeypatch.context() as inside:
+            # MLlib may still make the form of a model, but it grows no tree.
+            def grown(self, dataset, fit=GBTRegressor._fit):
+                assert self.getMaxDepth() == 0
+                return fit(self, dataset)
+
+            inside.setattr(GBTRegressor, "_fit", grown)
+            ours = boosting.BoostedTrees(**same, **more).fit(bent)
+        assert type(ours) is type(theirs) and ours.getNumTrees == theirs.getNumTrees < 40 and ours.treeWeights == theirs.treeWeights
+        assert ours.featureImportances.toArray() == pytest.approx(theirs.featureImportances.toArray())
+        assert ours.getMaxIter() == more["maxIter"] and ours.numFeatures == 5
+        pairs = theirs.transform(bent).select("x", "late", F.col("prediction").alias("p"))
+        found = [[r["p"] for r in pairs.collect()], [r["prediction"] for r in ours.transform(bent).collect()]]
+        assert found[1] == pytest.approx(found[0], abs=1e-9)
+    estimator = modeling.estimators(rounds=2, depth=2)["boosted_trees"]
+    assert isinstance(estimator, boosting.BoostedTrees)
+
+
+def test_what_packed_bins_do_not_know_is_left_to_mllib(spark, bent, monkeypatch):
+    asked = []
+    fit = GBTRegressor._fit
+    monkeypatch.setattr(GBTRegressor, "_fit", lambda self, df: asked.append(self.getMaxDepth()) or fit(self, df))
+    hot = OneHotEncoder(inputCols=["k"], outputCols=["x"])
+    kinds = spark.createDataFrame([(float(i % 3), float(i % 3 * 2)) for i in range(60)], ["k", "y"])
+    settings = {"featuresCol": "x", "labelCol": "y", "maxIter": 1, "maxDepth": 2}
+    boosting.BoostedTrees(**settings).fit(hot.fit(kinds).transform(kinds))
+    boosting.BoostedTrees(**settings, lossType="absolute").fit(bent)
+    assert asked == [2, 2]
+    with pytest.raises(Exception, match="NaN"):
+        boosting.BoostedTrees(**settings).fit(bent.withColumn("y", F.lit(float("nan"))))
+
+
+def test_features_with_few_bins_share_a_code():
+    cuts = [np.arange(31) + 0.5, np.array([0.5]), np.arange(23) + 0.5, np.array([]), np.arange(30) * 1.0]
+    packing = boosting.Packing.of(cuts)
+    rows = np.random.default_rng(1).integers(0, 32, (500, 5)).astype(float)
+    assert len(packing.groups) == 2 and max(packing.widths) <= 1024
+    codes = packing.codes(rows)
+    counted = packing.by_feature([np.bincount(c, minlength=w).reshape(1, w, 1) for c, w in zip(codes, packing.widths, strict=True)])
+    for f, cut in enumerate(cuts):
+        group, size, factor = packing.place(f)
+        assert (codes[group] // factor % size == np.searchsorted(cut, rows[:, f])).all()  # a value at a cut lies below it
+        expected = np.bincount(np.searchsorted(cut, rows[:, f]), minlength=32)
+        assert (counted[0, f, :, 0] == expected).all()
