@@ -369,15 +369,15 @@ def test_mean_of_the_other_folds_is_worked_out_once(categories):
 @pytest.fixture(scope="module")
 def bent(spark):
     """Rows with a bend, a step and an interaction; every tenth is a late one."""
-    rng = np.random.default_rng(3)
-    wide = np.c_[rng.normal(size=3000), rng.integers(0, 5, 3000), rng.uniform(-3, 3, 3000).round(1), rng.integers(0, 2, 3000), np.zeros(3000)]
-    y = np.sin(wide[:, 0]) * 3 + wide[:, 1] + wide[:, 2] * wide[:, 3] + rng.normal(size=3000)
+    rng, n = np.random.default_rng(3), 14_000  # more than the rows of a sample
+    wide = np.c_[rng.normal(size=n), rng.integers(0, 5, n), rng.uniform(-3, 3, n).round(1), rng.integers(0, 2, n), np.zeros(n)]
+    y = np.sin(wide[:, 0]) * 3 + wide[:, 1] + wide[:, 2] * wide[:, 3] + rng.normal(size=n)
     rows = [(Vectors.dense([float(v) for v in x]), float(t), i % 10 == 0) for i, (x, t) in enumerate(zip(wide, y, strict=True))]
     return spark.createDataFrame(rows, ["x", "y", "late"]).repartition(3).cache()
 
 
 def test_trees_on_packed_bins_are_those_of_mllib(spark, bent, monkeypatch):
-    monkeypatch.setattr(boosting, "_BLOCK", 400)
+    monkeypatch.setattr(boosting, "_BLOCK", 2000)
     same = {"featuresCol": "x", "labelCol": "y", "maxDepth": 4, "minInstancesPerNode": 20, "seed": 42, "checkpointInterval": 2}
     for more in ({"maxIter": 3}, {"maxIter": 40, "stepSize": 0.5, "validationIndicatorCol": "late", "validationTol": 0.0}):
         theirs = GBTRegressor(**same, **more).fit(bent)
